@@ -7,6 +7,8 @@ import importlib
 #: Each module has QUERIES and ORACLE.
 MODULES = (
     "op1_decontamination",
+    "op3_quality_rules",
+    "op6_ngram_join",
     "op7_line_dedup",
     "op10_mixing",
 )
