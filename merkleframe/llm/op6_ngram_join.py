@@ -244,7 +244,8 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     members = classes.select("grp", "cls", F.col("cls").alias("comp"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")
     post = written(_shared(signed.where("doc_id IS NOT NULL")).withColumn("band", band))
-    lead = F.min(F.struct("grp", "n", "pos"))
+    # The original of many near copies has no shingles of its own, so that a shared one is early in its prefix.
+    lead = F.min(F.struct("pos", "grp", "n"))
     stars = post.groupBy("token", "band").agg(lead.alias("x"))
     star = post.alias("y").join(stars.alias("s"), ["token", "band"]).where("x.grp <> y.grp").where(_may_link("x", "y", percent))
     star = star.groupBy(F.col("y.grp").alias("h"), F.col("x.grp").alias("g")).agg(F.count("*").alias("k"))
