@@ -155,21 +155,17 @@ def _may_link(a: str, b: str, percent: int) -> str:
     )
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (u, v) of classes, named by a doc_id of each, those that link, by their whole sets."""
-    spark = docs.sparkSession
-    pairs = written(pairs.select("u", "v").distinct())
-    ids = written(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
-    n = ids.count()
-    bits = 1 << min(MAX_BLOOM, max(1 << 12, BLOOM_BITS * n)).bit_length() - 1
+def _filter(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A Bloom filter of the distinct ids (id), of a fixed largest size; made in parts, joined by part."""
+    ids = written(ids.distinct())
+    bits = 1 << min(MAX_BLOOM, max(1 << 12, BLOOM_BITS * ids.count())).bit_length() - 1
+    step = 1 << 16
 
-    # A filter of a fixed largest size spares most rows the hashing; the join on the set's owner is exact.
     def marks(batches):
         seen = np.zeros(bits // 8, np.uint8)
         for batch in batches:
             for p in _places(batch["id"].to_numpy(zero_copy_only=False), bits):
                 np.bitwise_or.at(seen, p >> 3, (1 << (p & 7)).astype(np.uint8))
-        step = 1 << 16
         for i in range(0, len(seen), step):
             if seen[i : i + step].any():
                 yield pa.RecordBatch.from_pydict({"at": pa.array([i], pa.int64()), "bits": pa.array([seen[i : i + step].tobytes()], pa.binary())})
@@ -181,23 +177,34 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                 seen[i] = seen.get(i, 0) | np.frombuffer(b.as_buffer(), np.uint8)
         yield pa.RecordBatch.from_pydict({"at": pa.array(seen.keys(), pa.int64()), "bits": pa.array([b.tobytes() for b in seen.values()], pa.binary())})
 
-    bloom = np.zeros(bits // 8, np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
     for r in ids.mapInArrow(marks, "at long, bits binary").repartition("at").mapInArrow(joined, "at long, bits binary").toLocalIterator():
-        bloom[r["at"] : r["at"] + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
-    sent = spark.sparkContext.broadcast(bloom)
+        out[r["at"] : r["at"] + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return out, bits
+
+
+def _sets_of(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(id, items): the sets of the documents of these ids, and of a few others that the filter lets by."""
+    bloom, bits = _filter(ids)
+    sent = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def sets(batches):
         for batch in batches:
-            ids_ = batch["doc_id"].to_numpy(zero_copy_only=False)
-            ok = np.ones(len(ids_), bool)
-            for p in _places(ids_, bits):
+            of = batch["doc_id"].to_numpy(zero_copy_only=False)
+            ok = np.ones(len(of), bool)
+            for p in _places(of, bits):
                 ok &= (sent.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
             some = batch.filter(pa.array(ok))
-            got = [u.tobytes() for _, u in _sets(some["doc_id"], some["text"], size)]
-            if got:
-                yield pa.RecordBatch.from_arrays([some["doc_id"], pa.array(got, pa.binary())], ["id", "items"])
+            if len(some):
+                yield pa.RecordBatch.from_arrays([some["doc_id"], pa.array([u.tobytes() for _, u in _sets(some["doc_id"], some["text"], size)], pa.binary())], ["id", "items"])
 
-    s = written(docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(sets, "id long, items binary"))
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(sets, "id long, items binary")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of pairs (u, v) of classes, named by a doc_id of each, those that link, by their whole sets. Few u with many v each move least."""
+    pairs = written(pairs.select("u", "v").distinct())
+    a, b = (_sets_of(pairs.select(F.col(k).alias("id")), docs, size).select(F.col("id").alias(k), F.col("items").alias(x)) for k, x in (("u", "a"), ("v", "b")))
 
     def compare(batches):
         for batch in batches:
@@ -208,8 +215,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                 ok[r] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
             yield batch.select(["u", "v"]).filter(pa.array(ok))
 
-    a, b = s.select(F.col("id").alias("u"), F.col("items").alias("a")), s.select(F.col("id").alias("v"), F.col("items").alias("b"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long").distinct()
+    return pairs.join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long").distinct()
 
 
 def _places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -253,8 +259,9 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     inner = members.groupBy("grp").agg(F.min("cls").alias("u"))
     first = star.join(inner.withColumnRenamed("grp", "g"), "g").join(members.select(F.col("grp").alias("h"), F.col("cls").alias("v")), "h").select("u", "v")
     first = first.union(members.join(inner, "grp").select("u", F.col("cls").alias("v"))).where("u <> v")
-    tried = written(first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    links = written(_verified(tried, docs, size, percent).union(ties))
+    first = written(first.distinct())
+    tried = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    links = written(_verified(first, docs, size, percent).union(ties))
     comp = components(links)
 
     members = written(members.drop("comp").join(comp.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
