@@ -24,14 +24,14 @@ BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of a string column of about BATCH_BYTES each, of a row at least."""
+def slices(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of a string column of about ``limit`` bytes each, of a row at least."""
     if not len(column):
         return
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int32 if column.type in (pa.string(), pa.binary()) else np.int64)[column.offset : column.offset + len(column) + 1]
     at = 0
     while at < len(column):
-        end = max(at + 1, int(np.searchsorted(offsets, int(offsets[at]) + BATCH_BYTES, side="right")) - 1)
+        end = max(at + 1, int(np.searchsorted(offsets, int(offsets[at]) + limit, side="right")) - 1)
         yield at, min(end, len(column))
         at = min(end, len(column))
 

@@ -7,9 +7,14 @@ import importlib
 #: Each module has QUERIES and ORACLE.
 MODULES = (
     "op1_decontamination",
+    "op2_license_scan",
     "op3_quality_rules",
+    "op4_training_order",
+    "op5_zip_archives",
     "op6_ngram_join",
     "op7_line_dedup",
+    "op8_perplexity",
+    "op9_language_id",
     "op10_mixing",
 )
 
