@@ -14,7 +14,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round joins every link to the smallest neighbour of its ends; rounds grow with the logarithm of the longest path.
     Every round is written to the shared folder. Null ends and loops are left out; no links give no rows.
     """
-    e = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    e = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
     e = written(e)
     seen = None
     while True:
@@ -24,11 +24,11 @@ def components(links: DataFrame) -> DataFrame:
         seen = tuple(size)
         # Larger neighbours go to the smallest one.
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         # Then smaller neighbours, and the node, do.
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
-        e = written(e.select("x.u", "x.v").where("u <> v").distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        x = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
+        e = written(x.select("x.u", "x.v").where("u <> v").distinct())
     roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

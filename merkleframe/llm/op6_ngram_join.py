@@ -39,7 +39,7 @@ HOT = 4000
 BLOOM_BITS, MAX_BLOOM = 16, 1 << 28
 
 
-def _sets(ids: pa.Array, text: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
+def _sets(text: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
     """Row and sorted distinct shingle hashes of each text."""
     text = pc.ascii_lower(pc.fill_null(text.cast(pa.large_string()), ""))
     for a, b in A.slices(text):
@@ -57,7 +57,7 @@ def _sketch(docs: DataFrame, size: int) -> np.ndarray:
         total = np.zeros(COUNTERS, np.uint64)
         for batch in batches:
             held, n = [], 0
-            for _, u in _sets(batch["text"], batch["text"], size):
+            for _, u in _sets(batch["text"], size):
                 held.append(u & np.uint64(COUNTERS - 1))
                 n += len(u)
                 if n > 1 << 18:
@@ -94,7 +94,7 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def sign(batches):
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
-            for _, u in _sets(batch["doc_id"], batch["text"], size):
+            for _, u in _sets(batch["text"], size):
                 n = len(u)
                 digest = np.frombuffer(hashlib.blake2b(u.tobytes(), digest_size=16).digest(), np.int64)
                 count = sketch.value[(u & np.uint64(COUNTERS - 1)).astype(np.int64)]
@@ -155,37 +155,38 @@ def _may_link(a: str, b: str, percent: int) -> str:
     )
 
 
-def _filter(ids: DataFrame) -> tuple[np.ndarray, int]:
-    """A Bloom filter of the distinct ids (id), of a fixed largest size; made in parts, joined by part."""
-    ids = written(ids.distinct())
-    bits = 1 << min(MAX_BLOOM, max(1 << 12, BLOOM_BITS * ids.count())).bit_length() - 1
+def _filters(pairs: DataFrame) -> tuple[dict[str, np.ndarray], int]:
+    """A Bloom filter of each side of the pairs (u, v), of a fixed largest size; made in parts, joined by part."""
+    bits = 1 << min(MAX_BLOOM, max(1 << 12, BLOOM_BITS * pairs.count())).bit_length() - 1
     step = 1 << 16
+    names, schema = ["side", "at", "bits"], "side string, at long, bits binary"
+
+    def rows(held):
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.int64()), pa.array([b.tobytes() for b in held.values()], pa.binary())], names)
 
     def marks(batches):
-        seen = np.zeros(bits // 8, np.uint8)
+        seen = {side: np.zeros(bits // 8, np.uint8) for side in "uv"}
         for batch in batches:
-            for p in _places(batch["id"].to_numpy(zero_copy_only=False), bits):
-                np.bitwise_or.at(seen, p >> 3, (1 << (p & 7)).astype(np.uint8))
-        for i in range(0, len(seen), step):
-            if seen[i : i + step].any():
-                yield pa.RecordBatch.from_pydict({"at": pa.array([i], pa.int64()), "bits": pa.array([seen[i : i + step].tobytes()], pa.binary())})
+            for side in "uv":
+                for p in _places(batch[side].to_numpy(zero_copy_only=False), bits):
+                    np.bitwise_or.at(seen[side], p >> 3, (1 << (p & 7)).astype(np.uint8))
+        yield rows({(side, i): b for side in "uv" for i in range(0, bits // 8, step) if (b := seen[side][i : i + step]).any()})
 
     def joined(batches):
-        seen: dict[int, np.ndarray] = {}
+        seen: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            for i, b in zip(batch["at"].to_pylist(), batch["bits"], strict=True):
-                seen[i] = seen.get(i, 0) | np.frombuffer(b.as_buffer(), np.uint8)
-        yield pa.RecordBatch.from_pydict({"at": pa.array(seen.keys(), pa.int64()), "bits": pa.array([b.tobytes() for b in seen.values()], pa.binary())})
+            for side, i, b in zip(batch["side"].to_pylist(), batch["at"].to_pylist(), batch["bits"], strict=True):
+                seen[side, i] = seen.get((side, i), 0) | np.frombuffer(b.as_buffer(), np.uint8)
+        yield rows(seen)
 
-    out = np.zeros(bits // 8, np.uint8)
-    for r in ids.mapInArrow(marks, "at long, bits binary").repartition("at").mapInArrow(joined, "at long, bits binary").toLocalIterator():
-        out[r["at"] : r["at"] + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    out = {side: np.zeros(bits // 8, np.uint8) for side in "uv"}
+    for r in pairs.mapInArrow(marks, schema).repartition("side", "at").mapInArrow(joined, schema).toLocalIterator():
+        out[r["side"]][r["at"] : r["at"] + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
     return out, bits
 
 
-def _sets_of(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(id, items): the sets of the documents of these ids, and of a few others that the filter lets by."""
-    bloom, bits = _filter(ids)
+def _sets_of(bloom: np.ndarray, bits: int, docs: DataFrame, size: int) -> DataFrame:
+    """(id, items): the sets of the documents whose ids the filter lets by."""
     sent = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def sets(batches):
@@ -196,15 +197,15 @@ def _sets_of(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
                 ok &= (sent.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
             some = batch.filter(pa.array(ok))
             if len(some):
-                yield pa.RecordBatch.from_arrays([some["doc_id"], pa.array([u.tobytes() for _, u in _sets(some["doc_id"], some["text"], size)], pa.binary())], ["id", "items"])
+                yield pa.RecordBatch.from_arrays([some["doc_id"], pa.array([u.tobytes() for _, u in _sets(some["text"], size)], pa.binary())], ["id", "items"])
 
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(sets, "id long, items binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of pairs (u, v) of classes, named by a doc_id of each, those that link, by their whole sets. Few u with many v each move least."""
-    pairs = written(pairs.select("u", "v").distinct())
-    a, b = (_sets_of(pairs.select(F.col(k).alias("id")), docs, size).select(F.col("id").alias(k), F.col("items").alias(x)) for k, x in (("u", "a"), ("v", "b")))
+    """Of the stored pairs (u, v) of classes, named by a doc_id of each, those that link, by their whole sets. Few u with many v each move least."""
+    filters, bits = _filters(pairs)
+    a, b = (_sets_of(filters[k], bits, docs, size).select(F.col("id").alias(k), F.col("items").alias(x)) for k, x in (("u", "a"), ("v", "b")))
 
     def compare(batches):
         for batch in batches:
@@ -215,7 +216,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                 ok[r] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
             yield batch.select(["u", "v"]).filter(pa.array(ok))
 
-    return pairs.join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long").distinct()
+    return pairs.join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
 
 
 def _places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -276,9 +277,10 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     cross = cross.where("x.grp <> y.grp AND (x.low <> y.low OR x.high <> y.high OR x.low <> x.high)").where(_may_link("x", "y", percent))
     cross = cross.select(F.least("x.grp", "y.grp").alias("g"), F.greatest("x.grp", "y.grp").alias("h"))
     cross = cross.union(by_group.where("low < high").select(F.col("grp").alias("g"), F.col("grp").alias("h"))).distinct()
-    rest = _expanded(cross, members).join(tried, ["u", "v"], "left_anti")
-    links = written(links.union(_verified(rest, docs, size, percent)))
-    comp = components(links)
+    rest = written(_expanded(cross, members).join(tried, ["u", "v"], "left_anti"))
+    if not rest.isEmpty():
+        # What is known of components goes on as one link for each member.
+        comp = components(comp.select(F.col("node").alias("u"), F.col("component").alias("v")).union(_verified(rest, docs, size, percent)))
 
     named = mine.join(comp.select(F.col("node").alias("cls"), "component"), "cls", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "cls")).alias("component_id"))
     out = d.select("doc_id", "version", F.col("n").alias("n_shingles")).join(named, "doc_id", "left")
