@@ -1,11 +1,13 @@
 """Training-order materialisation: token sequences in a keyed random order, in shards of a fixed stride.
 
 Documents are tokenised in the order of the stored input and packed into sequences of LENGTH tokens, an end token after
-each document. A first pass counts; so each input partition knows the number of its first sequence, and a keyed Feistel
-permutation with cycle-walking takes each sequence number to its slot in the training order. The permutation fills all
-slots evenly, so equal slot ranges are equal shards: no sampling, no skew. Each range is one partition, sorted by slot and
-streamed into one file, in which slot s is at a place that can be computed: a reader resumes anywhere, and reads on in
-sequence. Files get their names when they are whole, so lost executors leave none that is torn.
+each document. A sequence is numbered by its input partition and its place in that; a keyed Feistel permutation with
+cycle-walking, over all numbers that there may be, takes each number to its place in the training order. How many
+sequences there are needn't be known before, so one pass does: places are spread evenly, and equal ranges of them are
+equal shards, without sampling or skew. Each range is one partition, sorted by place and streamed into one file. A
+sequence's slot is its rank among all, that is its shard's first slot and its number in the shard; sequences are of one
+stride, so a reader finds any slot by a division, resumes there, and reads on. Files get their names when they are whole,
+so lost executors leave none that is torn.
 """
 
 from __future__ import annotations
@@ -17,20 +19,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from merkleframe.llm.arrays import mix
 from merkleframe.llm.op5_zip_archives import _store, read_at
-from merkleframe.llm.op9_language_id import PATTERN, VOCABULARY, load_vocabulary
+from merkleframe.llm.tokens import VOCABULARY, load_vocabulary, tokenizer
 from merkleframe.session import scratch, table, written
 
 #: Tokens of a sequence; ids are 16 bits, little endian.
 LENGTH = 512
-SHARD_BYTES = 32 << 20
+#: Bits of a sequence's number in its partition.
+PART_BITS = 32
 SEED = 20240229
 ROUNDS = 6
-#: Passes over an input whose partitions change between the two passes, before giving up.
-TRIES = 3
 
 
 class Feistel:
@@ -65,144 +67,85 @@ class Feistel:
         return self._walk(slots, self.keys[::-1], True)
 
 
-def _encoder(ranks: dict[bytes, int]):
-    import tiktoken
+def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, seed: int = SEED) -> tuple[DataFrame, int]:
+    """(place, tokens) of every sequence, and the number below which places are.
 
-    encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: encoding.encode_to_numpy(text, disallowed_special=())
-
-
-def _tokens(batches, encode, end: int):
-    """The tokens of each document that has any, with the end token, and its doc_id's digest."""
-    for batch in batches:
-        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-            text = text.as_py()
-            if text:
-                yield doc_id, np.append(encode(text), end)
-
-
-def _trace(trace: int, doc_id, n: int) -> int:
-    return (trace * 1_000_003 + hash((doc_id if doc_id is not None else -1, n))) % (1 << 61)
-
-
-def count_partitions(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH) -> list:
-    """(part, sequences, trace) of each partition of the stored input that has tokens: a row per partition, not per document."""
+    A sequence's number is that of its partition and its own in it; its place is where the permutation puts that.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary))
+    d = docs.select("text")
+    order = Feistel(max(1, d.rdd.getNumPartitions()) << PART_BITS, seed)
 
-    def count(batches):
-        n = trace = 0
-        for doc_id, t in _tokens(batches, _encoder(sent.value), len(sent.value)):
-            n += len(t)
-            trace = _trace(trace, doc_id, len(t))
-        part = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "sequences": pa.array([-(-n // length)], pa.int64()), "trace": pa.array([trace], pa.int64())})
+    def pack(batches):
+        encode, end = tokenizer(sent.value).encode_ordinary, len(sent.value)
+        first = TaskContext.get().partitionId() << PART_BITS
+        held, n, done = [], 0, 0
+
+        def emit(k: int):
+            nonlocal held, n, done
+            stream = np.concatenate(held)
+            cut = np.full(k * length, end, "<u2")
+            cut[: min(len(stream), k * length)] = stream[: k * length]
+            places = order.slots(np.arange(first + done, first + done + k))
+            done += k
+            held, n = [stream[k * length :]], max(0, n - k * length)
+            return pa.RecordBatch.from_pydict({"place": pa.array(places), "tokens": pa.array([cut[i * length : (i + 1) * length].tobytes() for i in range(k)], pa.binary())})
 
-    return docs.select("doc_id", "text").mapInArrow(count, "part int, sequences long, trace long").collect()
+        for batch in batches:
+            for text in batch["text"]:
+                if text := text.as_py():
+                    held.append(np.array(encode(text), "<u2"))
+                    held.append(np.array([end], "<u2"))
+                    n += len(held[-2]) + 1
+                    if n > 1 << 20:
+                        yield emit(n // length)
+        if n:
+            yield emit(-(-n // length))
 
+    return d.mapInArrow(pack, "place long, tokens binary"), order.n
 
-def sequences(docs: DataFrame, counted: list, vocabulary: str = VOCABULARY, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """(slot, n, tokens, first_doc): every sequence, with its slot, its tokens before the padding, and the document it begins in."""
-    context = docs.sparkSession.sparkContext
-    sent = context.broadcast(load_vocabulary(vocabulary))
-    counted = sorted(counted)
-    firsts = np.concatenate([[0], np.cumsum([r[1] for r in counted])])
-    plan = context.broadcast({r[0]: (int(a), r[1], r[2]) for r, a in zip(counted, firsts, strict=False)})
-    order = Feistel(int(firsts[-1]), seed)
 
-    def pack(batches):
-        first, n_sequences, expected = plan.value.get(TaskContext.get().partitionId(), (0, -1, 0))
-        end, trace, done = len(sent.value), 0, 0
-        held, owners, n = [], [], 0
-
-        def emit(last: bool):
-            nonlocal held, owners, n, done
-            stream = np.concatenate(held) if held else np.zeros(0, np.uint32)
-            whole = -(-len(stream) // length) if last else len(stream) // length
-            if not whole:
-                return None
-            cut = stream[: whole * length]
-            sizes = np.minimum(length, len(cut) - np.arange(whole) * length)
-            padded = np.full(whole * length, end, "<u2")
-            padded[: len(cut)] = cut
-            begins = np.cumsum([0, *(len(h) for h in held)])
-            doc = [owners[i] for i in np.searchsorted(begins, np.arange(whole) * length, side="right") - 1]
-            slots = order.slots(first + done + np.arange(whole))
-            done += whole
-            rest = stream[whole * length :]
-            held, owners, n = ([rest], [owners[-1]], len(rest)) if len(rest) else ([], [], 0)
-            return pa.RecordBatch.from_pydict({"slot": pa.array(slots), "n": pa.array(sizes.astype(np.int32)), "tokens": pa.array([padded[i * length : (i + 1) * length].tobytes() for i in range(whole)], pa.binary()), "first_doc": pa.array(doc, pa.int64())})
-
-        for doc_id, t in _tokens(batches, _encoder(sent.value), end):
-            trace = _trace(trace, doc_id, len(t))
-            held.append(t)
-            owners.append(doc_id)
-            n += len(t)
-            if n > 1 << 20 and (out := emit(False)) is not None:
-                yield out
-        if (out := emit(True)) is not None:
-            yield out
-        if (done, trace) != (max(0, n_sequences), expected):
-            raise RuntimeError("PARTITIONS_CHANGED: the input isn't partitioned as it was counted")
-
-    return docs.select("doc_id", "text").mapInArrow(pack, "slot long, n int, tokens binary, first_doc long")
-
-
-def write_shards(docs: DataFrame, folder: str, stored: bool = False, vocabulary: str = VOCABULARY, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, seed: int = SEED) -> DataFrame:
-    """(shard, path, first_slot, slots) of the shard files written into ``folder``.
-
-    ``stored``: ``docs`` (doc_id, text) is read from files as it is; anything else is written first, so that both passes see
-    the same partitions. They check that they do, and begin again if not. A null or empty text has no tokens and no end
-    token; a null doc_id is no hindrance. The order depends on the input files, their split and ``seed`` alone. No
-    documents, no shards.
+def write_shards(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, length: int = LENGTH, shards: int | None = None, seed: int = SEED) -> DataFrame:
+    """(shard, path, first_slot, slots) of the shard files written into ``folder``; ``shards`` of them, or one for each input partition.
+
+    A null or empty text has no tokens and no end token; of ``docs`` only the text is read. The order depends on the input
+    files, their split and ``seed`` alone. No documents, no shards.
     """
-    spark = docs.sparkSession
-    docs = docs if stored else written(docs.select("doc_id", "text"))
-    stride = 2 * length
-    per_shard = max(1, shard_bytes // stride)
+    s, places = sequences(docs, vocabulary, length, seed)
+    shards = shards or places >> PART_BITS
+    span = -(-places // shards)
 
     def write(batches):
-        path = out = None
-        shard = first = at = 0
+        shard = path = out = fs = None
+        last = n = 0
         rows = []
 
         def close():
             out.close()
             fs.move(f"{path}.part", path)
-            rows.append((shard, f"{folder}/{_name(shard)}", first, at - first))
+            rows.append((shard, f"{folder}/{_name(shard)}", n))
 
         for batch in batches:
-            for slot, tokens in zip(batch["slot"].to_pylist(), batch["tokens"], strict=True):
-                if out is None or slot // per_shard != shard:
+            for place, tokens in zip(batch["place"].to_pylist(), batch["tokens"], strict=True):
+                if place // span != shard:
                     if out is not None:
                         close()
-                    shard, first = slot // per_shard, slot
+                    shard, n = place // span, 0
                     with _store(f"{folder}/{_name(shard)}") as (fs, path):
                         fs.create_dir(os.path.dirname(path), recursive=True)
                         out = fs.open_output_stream(f"{path}.part")
-                    at = shard * per_shard
-                if slot != at:
-                    raise ValueError(f"slot {at} is missing or there twice")
+                elif place <= last:
+                    raise ValueError(f"two sequences of place {place}")
                 out.write(tokens.as_buffer())
-                at += 1
+                last, n = place, n + 1
         if out is not None:
             close()
-        types = (pa.int32(), pa.string(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["shard", "path", "first_slot", "slots"])
-
-    for attempt in range(TRIES):
-        counted = count_partitions(docs, vocabulary, length)
-        total = sum(r[1] for r in counted)
-        if not total:
-            return spark.createDataFrame([], "shard int, path string, first_slot long, slots long")
-        shards = -(-total // per_shard)
-        s = sequences(docs, counted, vocabulary, length, seed).select("slot", "tokens")
-        s = s.repartitionById(shards, F.floor(F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot")
-        try:
-            return written(s.mapInArrow(write, "shard int, path string, first_slot long, slots long"))
-        except Exception as e:
-            if "PARTITIONS_CHANGED" not in str(e) or attempt + 1 == TRIES:
-                raise
-    raise AssertionError
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.int64()))], ["shard", "path", "slots"])
+
+    s = s.repartitionById(shards, F.expr(f"CAST(place DIV {span}L AS INT)")).sortWithinPartitions("place")
+    made = written(s.mapInArrow(write, "shard int, path string, slots long"))
+    before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # a row for each file
+    return written(made.select("shard", "path", F.coalesce(F.sum("slots").over(before), F.lit(0)).alias("first_slot"), "slots"))
 
 
 def _name(shard: int) -> str:
@@ -231,7 +174,7 @@ def read_shards(shards: DataFrame, from_slot: int = 0, length: int = LENGTH, blo
 
 
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), scratch(spark), stored=True)
+    shards = write_shards(table(spark, sf_dir, "documents"), scratch(spark))
     out = read_shards(shards)
     return out.select("slot", "shard", F.sha2("tokens", 256).alias("tokens_sha256"))
 

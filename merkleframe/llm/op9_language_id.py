@@ -8,9 +8,6 @@ algorithm once on its distinct words, position by position for all of them.
 
 from __future__ import annotations
 
-import base64
-import os
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,11 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merkleframe.llm import arrays as A
+from merkleframe.llm.tokens import VOCABULARY, load_vocabulary, tokenizer
 from merkleframe.session import table
 
-VOCABULARY = os.environ.get("MERKLEFRAME_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
-#: How the vocabulary's own tokenizer cuts a text before it merges.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of the longest piece that is used, and of the unit that is segmented: a longer word is several units.
 PIECE, UNIT = 16, 48
 #: Added to each count.
@@ -35,11 +30,6 @@ BATCH = 8 << 20
 MAX_MODEL = 1 << 26
 
 
-def load_vocabulary(path: str = VOCABULARY) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
-
-
 def _hash(pieces: list[bytes]) -> np.ndarray:
     buf = np.frombuffer(b"".join(pieces), np.uint8)
     ends = np.cumsum([len(p) for p in pieces])
@@ -64,9 +54,7 @@ def piece_counts(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def count(batches):
-        import tiktoken
-
-        encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=sent.value, special_tokens={})
+        encoding = tokenizer(sent.value)
         total: dict[str, np.ndarray] = {}
         top = max(sent.value.values()) + 1
         for batch in batches:
