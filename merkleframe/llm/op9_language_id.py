@@ -25,7 +25,7 @@ SMOOTH = 0.1
 #: Factor for each byte, so that products neither vanish nor grow.
 BYTE_FACTOR = 40.0
 SLOTS = 1 << 20
-BATCH = 8 << 20
+BATCH = 2 << 20
 #: The model is broadcast; more pieces x languages than this are an error.
 MAX_MODEL = 1 << 26
 
