@@ -24,8 +24,8 @@ PIECE, UNIT = 16, 48
 SMOOTH = 0.1
 #: Factor for each byte, so that products neither vanish nor grow.
 BYTE_FACTOR = 40.0
-SLOTS = 1 << 20
-BATCH = 2 << 20
+SLOTS = 1 << 18
+BATCH = 3 << 20
 #: The model is broadcast; more pieces x languages than this are an error.
 MAX_MODEL = 1 << 26
 
@@ -37,15 +37,23 @@ def _hash(pieces: list[bytes]) -> np.ndarray:
 
 
 def _index(ranks: dict[bytes, int]) -> dict[str, np.ndarray]:
-    """A two-way hash table of the pieces of PIECE bytes at most."""
-    pieces = sorted((p for p in ranks if len(p) <= PIECE), key=lambda p: (len(p), ranks[p]))
-    keys = np.zeros((2, SLOTS), np.uint64)
-    ids = np.full((2, SLOTS), -1, np.int32)
-    for key, piece in zip(_hash(pieces), pieces, strict=True):
-        slot = int(key) & (SLOTS - 1)
-        way = next((w for w in (0, 1) if ids[w, slot] < 0), None)
-        if way is not None:  # single bytes come first; a third piece of a slot, one in some thousands, isn't used
-            keys[way, slot], ids[way, slot] = key, ranks[piece]
+    """A cuckoo hash table of the pieces of PIECE bytes at most, and of all their beginnings, which have the id -1. -2 is free."""
+    ids_of = {p: r for p, r in ranks.items() if len(p) <= PIECE}
+    for p in list(ids_of):
+        for n in range(1, len(p)):
+            ids_of.setdefault(p[:n], -1)
+    keys, ids = np.zeros((2, SLOTS), np.uint64), np.full((2, SLOTS), -2, np.int32)
+    for key, piece in zip(_hash(list(ids_of)).tolist(), ids_of.values(), strict=True):
+        way = 0
+        for _ in range(200):
+            slot = (key >> (32 * way)) & (SLOTS - 1)
+            held = int(keys[way, slot]), int(ids[way, slot])
+            keys[way, slot], ids[way, slot] = key, piece
+            if held[1] == -2:
+                break
+            (key, piece), way = held, 1 - way
+        else:
+            raise ValueError("the vocabulary is too large for the table")
     return {"keys": keys, "ids": ids}
 
 
@@ -83,36 +91,41 @@ class Model:
     def unit_scores(self, buf: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Log likelihood of each unit, of UNIT + 1 bytes at most and one at least, in each language; buf has them one after another."""
         starts = np.concatenate([[0], ends[:-1]])
-        owner = np.repeat(np.arange(len(ends)), ends - starts)
+        owner = np.repeat(np.arange(len(ends), dtype=np.int32), ends - starts)
         up, down = A._powers(len(buf) + 1)
         total = np.zeros(len(buf) + 1, np.uint64)
         np.cumsum(A._BYTE[buf] * up[: len(buf)], out=total[1:])
-        inside = np.arange(len(buf)) - starts[owner] + 1  # bytes of the unit up to and with this one
+        (keys, more_keys), (ids, more_ids) = self.index["keys"], self.index["ids"]
+        begin = np.arange(len(buf), dtype=np.int32)  # of what may still become a piece
+        left = (ends[owner] - begin).astype(np.int32)
         hits = []
         for n in range(1, PIECE + 1):
-            end = np.flatnonzero(inside >= n) + 1
-            if not len(end):
-                break
-            key = A.mix((total[end] - total[end - n]) * down[end - n] + np.uint64(n))
-            slot = (key & np.uint64(SLOTS - 1)).astype(np.int64)
-            piece = np.full(len(end), -1, np.int32)
-            for keys, ids in zip(self.index["keys"], self.index["ids"], strict=True):
-                same = (keys[slot] == key) & (ids[slot] >= 0)
-                piece[same] = ids[slot[same]]
+            ok = left >= n
+            begin, left = begin[ok], left[ok]
+            key = A.mix((total[begin + n] - total[begin]) * down[begin] + np.uint64(n))
+            slot = (key & np.uint64(SLOTS - 1)).astype(np.int32)
+            piece = np.where(keys[slot] == key, ids[slot], np.int32(-2))
+            other = np.flatnonzero(piece == -2)
+            slot = ((key[other] >> np.uint64(32)) & np.uint64(SLOTS - 1)).astype(np.int32)
+            same = more_keys[slot] == key[other]
+            piece[other[same]] = more_ids[slot[same]]
             ok = piece >= 0
-            hits.append((end[ok], np.full(int(ok.sum()), n), piece[ok]))
+            hits.append((begin[ok] + np.int32(n), np.full(int(ok.sum()), n, np.uint16), piece[ok]))
+            ok = piece != -2
+            begin, left = begin[ok], left[ok]
+            if not len(begin):
+                break
         end, n, piece = (np.concatenate(x) for x in zip(*hits, strict=True))
-        step = inside[end - 1]
-        order = np.lexsort((end, step))
-        end, n, piece, step = end[order], n[order], piece[order], step[order]
+        # By the step that a piece ends at, and by its length: so that none meets another at the same node.
+        code = ((end - starts[owner[end - 1]]) * (PIECE + 1) + n).astype(np.uint16)
+        order = np.argsort(code, kind="stable")
+        end, piece, code = end[order], piece[order], code[order]
         node = end + owner[end - 1]  # a unit of n bytes has n + 1 nodes, before and after each byte
         value = np.zeros((len(buf) + len(ends), len(self.langs)))
         value[starts + np.arange(len(ends))] = 1
-        cuts = np.searchsorted(step, np.arange(1, int(step[-1]) + 2))
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(code)) + 1, [len(code)]])
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            part = value[node[a:b] - n[a:b]] * self.probabilities[piece[a:b]]
-            first = np.flatnonzero(np.concatenate([[True], node[a + 1 : b] != node[a : b - 1]]))
-            value[node[a:b][first]] = np.add.reduceat(part, first, axis=0)
+            value[node[a:b]] += value[node[a:b] - int(code[a]) % (PIECE + 1)] * self.probabilities[piece[a:b]]
         last = ends + np.arange(len(ends))
         return np.log(np.maximum(value[last], 1e-300)) - (ends - starts)[:, None] * np.log(BYTE_FACTOR)
 
