@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Each module has QUERIES and ORACLE.
-MODULES: tuple[str, ...] = ("closures", "storage", "bench", "metadata")
+MODULES: tuple[str, ...] = ("closures", "storage", "bench", "metadata", "trees")
 
 
 def _merged(what: str) -> dict:
