@@ -9,9 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
+def local_session(cores: str = "*", partitions: int = 8, shared: str | None = None) -> SparkSession:
     """A session for tests and benchmarks; a cluster brings its own."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("merkleframe")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -20,23 +20,32 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("MERKLEFRAME_DRIVER_MEMORY", "8g"))
-        .getOrCreate()
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    return builder.getOrCreate()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which all executors share.
 
-    Only where the session names none, as in tests, a local one is set.
+    Only a session on this machine alone, as in tests, may name none; it gets a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='merkleframe-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        context = spark.sparkContext
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _LOCAL.get(context.applicationId)
+        if base is None:
+            base = _LOCAL[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='merkleframe-')}"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

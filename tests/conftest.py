@@ -11,8 +11,7 @@ os.environ["PYTHONPATH"] = sys.path[0] + os.pathsep + os.environ.get("PYTHONPATH
 def spark(tmp_path_factory):
     from merkleframe.session import local_session
 
-    s = local_session("4", 4)
+    s = local_session("4", 4, f"file://{tmp_path_factory.mktemp('shared')}")
     s.sparkContext.setLogLevel("ERROR")
-    s.conf.set("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
     yield s
     s.stop()
