@@ -9,11 +9,13 @@ of a third of all rows isn't one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from merkleframe.llm.text import BLANKS
+from merkleframe.llm.text import BLANKS, fresh
 from merkleframe.session import table, written
 
 #: Weights of the sources in code-point order, null last, repeating.
@@ -24,8 +26,6 @@ SHARE = 1.5
 MAX_PASSES = 2
 #: Change of a source's rate from start to end of training, by its place in the order, repeating: +0.5 goes from 0.75 to 1.25 of its mean.
 TILTS = (-0.5, 0.0, 0.5)
-#: Documents to a hash range, about.
-RANGE_DOCS = 2000
 SEED = "mix-1"
 
 
@@ -73,7 +73,8 @@ def assign(docs: DataFrame) -> DataFrame:
     t = written(targets(sized))
     # Sources are few; past Spark's own limit for a broadcast, this is a shuffled join.
     s = sized.join(t.withColumnRenamed("source", "_source"), sized["source"].eqNullSafe(F.col("_source"))).drop("_source")
-    ranges = 1 << max(4, (max(1, sized.count()) // RANGE_DOCS).bit_length())
+    # As many ranges as a source has documents in each, about, so that both levels grow with the root.
+    ranges = 1 << max(4, math.isqrt(sized.count()).bit_length())
     s = s.withColumn("key", _order_key())
     s = written(s.withColumn("range", F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % ranges))
     in_range = s.groupBy("place", "range").agg(F.sum("size").alias("range_size"))
@@ -105,14 +106,15 @@ def curriculum(docs: DataFrame) -> DataFrame:
     Rows of no copy go. Columns stay those of ``docs``.
     """
     # Rows alike in id, source and size are told apart by their place, which the join's own shuffle provides.
-    key = lambda size: F.to_json(F.struct("doc_id", "source", F.col(size).alias("size")))
-    a = assign(docs).withColumn("_key", key("size"))
-    a = a.select("_key", F.row_number().over(W.partitionBy("_key").orderBy("before")).alias("_row"), "positions").where(F.size("positions") > 0)
-    d = docs.withColumn("_size", F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), BLANKS), "")).cast("long"))
-    d = d.withColumn("_key", key("_size"))
-    d = d.withColumn("_row", F.row_number().over(W.partitionBy("_key").orderBy("text")))
-    d = d.join(a, ["_key", "_row"]).select(docs["*"], F.explode("positions").alias("_position"))
-    return d.repartitionByRange("_position", "doc_id").sortWithinPartitions("_position", "doc_id").select(*docs.columns)
+    size, key, row, positions, at = fresh(docs, "size", "key", "row", "positions", "at")
+    name = lambda n: F.to_json(F.struct("doc_id", "source", F.col(n).alias("size")))
+    a = assign(docs).withColumn(key, name("size"))
+    a = a.select(key, F.row_number().over(W.partitionBy(key).orderBy("before")).alias(row), F.col("positions").alias(positions)).where(F.size(positions) > 0)
+    d = docs.withColumn(size, F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), BLANKS), "")).cast("long"))
+    d = d.withColumn(key, name(size))
+    d = d.withColumn(row, F.row_number().over(W.partitionBy(key).orderBy("text")))
+    d = d.join(a, [key, row]).withColumn(at, F.explode(positions))
+    return d.repartitionByRange(at, "doc_id").sortWithinPartitions(at, "doc_id").select(*docs.columns)
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
@@ -144,7 +146,7 @@ t AS (
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY ('0x' || substr(h, 1, 8))::BIGINT % r.n, h, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM (SELECT *, md5(coalesce(doc_id::VARCHAR, 'null') || ':{SEED}') AS h FROM d) d
   JOIN t ON d.source IS NOT DISTINCT FROM t.source,
-  (SELECT pow(2, greatest(4, length(bin(greatest(1, count(*) // {RANGE_DOCS})))))::BIGINT AS n FROM d) r
+  (SELECT pow(2, greatest(4, length(bin(floor(sqrt(count(*)))::BIGINT))))::BIGINT AS n FROM d) r
 )
 SELECT doc_id, size, source_size, target,
        (size * ((before + size / 2.0 <= target)::INT + (source_size + before + size / 2.0 <= target)::INT))::BIGINT AS taken
