@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merkleframe.llm.text import LOWER, UPPER, ascii_lower, split_words
+from merkleframe.llm.text import LOWER, UPPER, ascii_lower, fresh, split_words
 from merkleframe.session import table, written
 
 WINDOW = 13
@@ -126,22 +126,22 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", size:
     A document is contaminated if at least a twentieth of its words is hit. Columns and clean rows stay as they are.
     """
     h = hits(docs, benchmark, size)
-    docs = docs.withColumn("_version", F.xxhash64(F.coalesce("text", F.lit(""))))
-    same = docs["doc_id"].eqNullSafe(F.col("_h.doc_id")) & (docs["_version"] == F.col("_h.version"))
+    own, gid, gversion, spans = fresh(docs, "own", "hit_id", "hit_version", "spans")
+    d = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").eqNullSafe(F.col(gid)) & (F.col(own) == F.col(gversion))
+    ids = [F.col("doc_id").alias(gid), F.col("version").alias(gversion)]
     if mode == "documents":
-        gone = h.where(contaminated()).select("doc_id", "version").alias("_h")
-        return docs.join(gone, same, "left_anti").drop("_version")
+        return d.join(h.where(contaminated()).select(*ids), same, "left_anti").select(*docs.columns)
     if mode != "spans":
         raise ValueError(mode)
-    cut = h.where("n_hit > 0").select("doc_id", "version", F.col("spans").alias("_spans")).alias("_h")
-    out = docs.join(cut, same, "left").select(docs["*"], "_spans")
+    out = d.join(h.where("n_hit > 0").select(*ids, F.col("spans").alias(spans)), same, "left")
     word, gap = F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.split("text", WORD, -1)
     piece = F.transform(
         F.sequence(F.lit(0), F.size(word) - 1),
-        lambda i: F.concat(F.when(F.exists("_spans", lambda s: (s["start"] <= i) & (i < s["end"])), "").otherwise(F.get(word, i)), F.get(gap, i + 1)),
+        lambda i: F.concat(F.when(F.exists(spans, lambda s: (s["start"] <= i) & (i < s["end"])), "").otherwise(F.get(word, i)), F.get(gap, i + 1)),
     )
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.concat(F.get(gap, F.lit(0)), F.array_join(piece, "")))
-    return out.withColumn("text", text).drop("_version", "_spans")
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.concat(F.get(gap, F.lit(0)), F.array_join(piece, "")))
+    return out.withColumn("text", text).select(*docs.columns)
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:

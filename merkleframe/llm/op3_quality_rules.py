@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from merkleframe.llm import arrays as A
+from merkleframe.llm.text import fresh
 from merkleframe.session import table, written
 
 MIN_WORDS = 50
@@ -195,9 +196,10 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, as they are."""
-    gone = judged(docs).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).distinct()
-    d = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return d.join(gone, d["doc_id"].eqNullSafe(gone["_id"]) & (d["_text"] == gone["_version"]), "left_anti").select(*docs.columns)
+    gone_id, gone_version, own = fresh(docs, "gone_id", "gone_version", "own")
+    gone = judged(docs).where("NOT kept").select(F.col("doc_id").alias(gone_id), F.col("version").alias(gone_version)).distinct()
+    d = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return d.join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(own) == F.col(gone_version)), "left_anti").select(*docs.columns)
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

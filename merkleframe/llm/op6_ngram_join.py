@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from merkleframe.llm import arrays as A
 from merkleframe.llm.components import components
+from merkleframe.llm.text import BLANKS, LOWER, UPPER, fresh
 from merkleframe.session import table, written
 
 SHINGLE = 4
@@ -292,9 +293,10 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     gone = linked(docs, size, percent).where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     # Of rows that repeat a doc_id the first by text stays; rows without one are each their own.
-    lone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0))
-    kept = kept.withColumn("_lone", lone).withColumn("_row", F.row_number().over(W.partitionBy("doc_id", "_lone").orderBy("text")))
-    return kept.where("_row = 1").select(*docs.columns)
+    lone, row = fresh(docs, "lone", "row")
+    kept = kept.withColumn(lone, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0)))
+    kept = kept.withColumn(row, F.row_number().over(W.partitionBy("doc_id", lone).orderBy("text")))
+    return kept.where(F.col(row) == 1).select(*docs.columns)
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:
@@ -302,4 +304,20 @@ def op6_ngram_join(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_ngram_join": op6_ngram_join}
-ORACLE: dict[str, str] = {}
+
+ORACLE = {
+    "op6_ngram_join": rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{BLANKS}'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + {SHINGLE}], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - {SHINGLE - 1}))) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT u, v FROM pairs JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * k >= {PERCENT} * (a.n + b.n - k)),
+both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, b.v FROM reach r JOIN both_ways b ON b.u = r.other)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
+"""
+}

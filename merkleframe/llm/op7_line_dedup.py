@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from merkleframe.llm.text import BLANK, LOWER, UPPER, ascii_lower
+from merkleframe.llm.text import BLANK, LOWER, UPPER, ascii_lower, fresh
 from merkleframe.session import table, written
 
 MIN_CHARS = 10
@@ -62,15 +62,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     A null or empty text is one empty line, and stays so. Other columns pass through; ones that are named like
     the added columns are replaced. An empty table gives an empty one.
     """
-    docs = docs.drop("n_lines", "n_dropped", "keep_runs", "_version", "_dropped")
-    drops = keep_bitmaps(docs, min_chars).select("doc_id", F.col("version").alias("_version"), F.col("dropped").alias("_dropped"))
-    out = docs.withColumn("_version", _version(F.col("text"))).join(drops, ["doc_id", "_version"], "left")
-    dropped = F.coalesce("_dropped", F.array().cast("array<int>"))
-    out = out.withColumn("_dropped", dropped).withColumn("_lines", _lines(F.col("text"))).withColumn("n_lines", F.size("_lines").cast("long"))
-    out = out.withColumn("n_dropped", F.size("_dropped").cast("long")).withColumn("keep_runs", keep_runs(F.col("_dropped"), F.size("_lines")))
-    kept = F.flatten(F.transform("keep_runs", lambda r: F.slice("_lines", r["start"] + 1, r["len"])))
+    docs = docs.drop("n_lines", "n_dropped", "keep_runs")
+    own, gone, lines = fresh(docs, "own", "dropped", "lines")
+    drops = keep_bitmaps(docs, min_chars).select("doc_id", F.col("version").alias(own), F.col("dropped").alias(gone))
+    out = docs.withColumn(own, _version(F.col("text"))).join(drops, ["doc_id", own], "left")
+    out = out.withColumn(gone, F.coalesce(gone, F.array().cast("array<int>"))).withColumn(lines, _lines(F.col("text"))).withColumn("n_lines", F.size(lines).cast("long"))
+    out = out.withColumn("n_dropped", F.size(gone).cast("long")).withColumn("keep_runs", keep_runs(F.col(gone), F.size(lines)))
+    kept = F.flatten(F.transform("keep_runs", lambda r: F.slice(lines, r["start"] + 1, r["len"])))
     text = F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return out.withColumn("text", text).drop("_version", "_dropped", "_lines").select(*docs.columns, "n_lines", "n_dropped", "keep_runs")
+    return out.withColumn("text", text).select(*docs.columns, "n_lines", "n_dropped", "keep_runs")
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:

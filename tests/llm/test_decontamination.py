@@ -57,7 +57,7 @@ def test_shuffled_join_is_the_same(spark, planted, monkeypatch):
     assert sorted(map(str, O.hits(d, b).collect())) == want
 
 
-def test_removal(spark, planted, crowded):
+def test_removal(spark, planted, crowded, unharmed):
     rows, items = planted
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     b = spark.createDataFrame(items, "item_id long, text string")
@@ -70,7 +70,8 @@ def test_removal(spark, planted, crowded):
     hit = {(r[0], r[1]): r[2] for r in brute(rows, items)}
     for r in rows:
         assert any(i == r[0] and len(words(t)) == len(words(r[1])) - hit[r[0], len(words(r[1]))] for i, t in clean)
-    assert O.remove(crowded, b).columns == crowded.columns
+    for mode in ("documents", "spans"):
+        unharmed(O.remove(crowded, b, mode), crowded)
 
 
 def test_empty_tables(spark, docs, empty):
