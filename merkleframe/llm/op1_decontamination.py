@@ -16,7 +16,8 @@ from merkleframe.session import table, written
 WINDOW = 13
 #: Words are what lies between these.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word before A-Z are lower-cased.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Benchmarks of up to so many distinct windows are broadcast and get a bitmap; larger ones are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
 MAX_BITS = 1 << 24

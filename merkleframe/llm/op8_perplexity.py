@@ -162,7 +162,7 @@ def judged(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     the limit of all. A null or empty text has no perplexity, and is kept; so is everything if nothing is trusted. Rows
     that repeat a doc_id are judged each by its text.
     """
-    s = written(scored(docs, trusted_ids)).withColumn("grant", EVIDENCE / F.sqrt("n_symbols"))
+    s = written(scored(docs, trusted_ids)).withColumn("grant", EVIDENCE / F.sqrt(F.greatest("n_symbols", F.lit(1))))
     t = s.where("trusted AND nll IS NOT NULL").select("lang", F.floor((F.col("nll") - F.col("grant")) * GRID).cast("long").alias("bin"))
     both = t.where("lang IS NOT NULL").union(t.select(F.lit(None).cast("string"), "bin")).groupBy("lang", "bin").agg(F.count("*").alias("k"))
     w = W.partitionBy("lang")
