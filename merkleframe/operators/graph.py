@@ -19,8 +19,10 @@ class LimitExceeded(Exception):
 def reach(seeds: DataFrame, links: DataFrame, max_objects: int | None = None, stop: DataFrame | None = None) -> DataFrame:
     """(key, depth): what the seeds (key) reach over links (src, dst), by least depth, seeds at 0.
 
-    Keys of ``stop`` (key) count, but aren't followed. Keys without a link are leaves; whether they exist is not asked.
+    Keys of ``stop`` (key) count, but aren't followed. Keys without a link are leaves; whether they exist is not asked. The
+    links are written once, so that no round derives them anew.
     """
+    links = written(links.select("src", "dst"))
     new = written(seeds.select("key").distinct().withColumn("depth", F.lit(0)))
     seen, total, depth = new, new.count(), 0
     while True:
@@ -39,6 +41,7 @@ def reach(seeds: DataFrame, links: DataFrame, max_objects: int | None = None, st
 
 def reach_from_each(seeds: DataFrame, links: DataFrame, stop: DataFrame | None = None) -> DataFrame:
     """(root, key, depth): the closure of each root by itself, roots at 0."""
+    links = written(links.select("src", "dst"))
     new = written(seeds.select(F.col("key").alias("root"), "key", F.lit(0).alias("depth")).distinct())
     seen, depth = new, 0
     while True:
@@ -69,7 +72,7 @@ def first_missing(seeds: DataFrame, links: DataFrame, objects: DataFrame) -> Dat
     Links of a node are followed in the order of their target; the walk's order is the path of such ranks to a node, level
     by level, so that the first gap is the one with the least depth, then the least path.
     """
-    ranked = links.select("src", "dst")
+    ranked = written(links.select("src", "dst"))
     new = written(seeds.select(F.col("key").alias("root"), "key", F.array(F.col("key")).alias("path")))
     known = objects.select("key")
     seen = new.select("root", "key")
@@ -101,16 +104,20 @@ def expand_paths(roots: DataFrame, entries: DataFrame, max_depth: int = 64) -> D
 def resolve_symbolic(refs: DataFrame, max_hops: int = 32) -> DataFrame:
     """(name, target, hops, error) of refs (name, target, symbolic): targets of symbolic refs are names, followed to a direct one.
 
-    ``error`` is ``missing`` for a name that isn't there and ``cycle`` where no direct ref comes within ``max_hops``.
+    ``error`` is ``missing`` for a name that isn't there, ``cycle`` for one that comes again, and ``too many hops``.
     """
-    names = refs.select(F.col("name").alias("_name"), F.col("target").alias("_target"), F.col("symbolic").alias("_symbolic"))
-    open_ = written(refs.select("name", "target", "symbolic", F.lit(0).alias("hops")))
-    done = open_.where("NOT symbolic").select("name", "target", "hops", F.lit(None).cast("string").alias("error"))
+    none = F.lit(None).cast("string")
+    names = written(refs.select(F.col("name").alias("_name"), F.col("target").alias("_target"), F.col("symbolic").alias("_symbolic")))
+    open_ = written(refs.select("name", "target", "symbolic", F.array("name").alias("path")))
+    done = open_.where("NOT symbolic").select("name", "target", F.lit(0).alias("hops"), none.alias("error"))
+    open_ = open_.where("symbolic")
     for hop in range(1, max_hops + 1):
-        step = written(open_.where("symbolic").join(names, F.col("target") == F.col("_name"), "left"))
+        step = written(open_.join(names, F.col("target") == F.col("_name"), "left"))
         if step.isEmpty():
             return done
-        done = done.unionByName(step.where("_name IS NULL").select("name", F.lit(None).cast("string").alias("target"), F.lit(hop).alias("hops"), F.lit("missing").alias("error")))
-        open_ = step.where("_name IS NOT NULL").select("name", F.col("_target").alias("target"), F.col("_symbolic").alias("symbolic"), F.lit(hop).alias("hops"))
-        done = done.unionByName(open_.where("NOT symbolic").select("name", "target", "hops", F.lit(None).cast("string").alias("error")))
-    return done.unionByName(open_.where("symbolic").select("name", F.lit(None).cast("string").alias("target"), "hops", F.lit("cycle").alias("error")))
+        again = F.col("_symbolic") & F.array_contains(F.concat("path", F.array("target")), F.col("_target"))
+        error = F.when(F.col("_name").isNull(), "missing").when(again, "cycle")
+        over = step.where(error.isNotNull() | ~F.col("_symbolic"))
+        done = done.unionByName(over.select("name", F.when(error.isNull(), F.col("_target")).alias("target"), F.lit(hop).alias("hops"), error.alias("error")))
+        open_ = step.where(error.isNull() & F.col("_symbolic")).select("name", F.col("_target").alias("target"), F.lit(True).alias("symbolic"), F.concat("path", F.array("target")).alias("path"))
+    return done.unionByName(open_.select("name", none.alias("target"), F.lit(max_hops).alias("hops"), F.lit("too many hops").alias("error")))

@@ -247,7 +247,7 @@ def hardlink_resolution(spark, d):
 
 
 @query("""SELECT n_name AS name, CASE WHEN n_nationkey = 24 THEN NULL ELSE 'oid' || n_nationkey % 5 END AS target, (n_nationkey // 5 + CASE WHEN n_nationkey = 24 THEN 1 ELSE 0 END)::INT AS hops, CASE WHEN n_nationkey = 24 THEN 'missing' END AS error FROM nation WHERE n_nationkey <> 24
-UNION ALL SELECT n_name, NULL, 1, 'missing' FROM nation WHERE n_nationkey = 24 UNION ALL SELECT 'loop' || i, NULL, 32, 'cycle' FROM range(0, 2) t(i)""")
+UNION ALL SELECT n_name, NULL, 1, 'missing' FROM nation WHERE n_nationkey = 24 UNION ALL SELECT 'loop' || i, NULL, 1, 'cycle' FROM range(0, 2) t(i)""")
 def symbolic_ref_resolution(spark, d):
     n = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("name"))
     to = n.select((F.col("n_nationkey") + 5).alias("n_nationkey"), F.col("name").alias("up"))

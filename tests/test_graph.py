@@ -45,9 +45,11 @@ def test_statuses_and_first_gap(spark):
 
 
 def test_symbolic_refs(spark):
-    refs = spark.createDataFrame([("HEAD", "main", True), ("main", "oid", False), ("x", "y", True), ("y", "x", True), ("lost", "none", True)], "name string, target string, symbolic boolean")
+    refs = spark.createDataFrame([("HEAD", "main", True), ("main", "oid", False), ("x", "y", True), ("y", "x", True), ("lost", "none", True), ("z", "x", True), *((f"c{i}", f"c{i + 1}", True) for i in range(40))], "name string, target string, symbolic boolean")
     got = {r.name: (r.target, r.hops, r.error) for r in graph.resolve_symbolic(refs).collect()}
-    assert got == {"HEAD": ("oid", 1, None), "main": ("oid", 0, None), "x": (None, 32, "cycle"), "y": (None, 32, "cycle"), "lost": (None, 1, "missing")}
+    want = {"HEAD": ("oid", 1, None), "main": ("oid", 0, None), "x": (None, 1, "cycle"), "y": (None, 1, "cycle"), "z": (None, 2, "cycle"), "lost": (None, 1, "missing")}
+    assert {k: v for k, v in got.items() if k[0] != "c"} == want
+    assert got["c20"] == (None, 20, "missing") and got["c8"] == (None, 32, "missing") and got["c7"] == (None, 32, "too many hops")
 
 
 @pytest.mark.parametrize("seed", range(3))
