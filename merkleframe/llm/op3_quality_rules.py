@@ -29,6 +29,8 @@ MIN_GROUP = 200
 DIMS, CHI_MEDIAN, CUT = 4, 3.3567, 100.0
 #: Least standard deviation of each statistic, so that one that most rows share isn't infinitely strict.
 FLOOR = (0.05, 0.5, 0.5, 0.5)
+#: Groups whose estimates are broadcast at most, of some 200 bytes each; more are joined by a shuffle.
+MAX_BROADCAST = 100_000
 #: Bins to a unit of a statistic, and of the logarithm of a squared distance.
 GRID, GRID_D = 256, 64
 
@@ -110,6 +112,12 @@ def _rank_bin(df: DataFrame, keys: list[str], share: float) -> DataFrame:
     return df.where(F.col("upto") >= F.ceil(share * F.col("all"))).groupBy(*keys).agg(F.min("bin").alias("at"))
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """A written table of a row for each group, to be broadcast if it is small: rows of a hot group then stay where they are."""
+    df = written(df)
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+
+
 def _inverse(df: DataFrame) -> DataFrame:
     """(grp, mean, inv) from (grp, k, sums, products)."""
 
@@ -147,25 +155,25 @@ def estimates(stats: DataFrame) -> DataFrame:
     long = stats.select("grp", F.posexplode(F.array(*xs)).alias("dim", "x"))
     binned = lambda df, x: df.groupBy("grp", "dim", F.floor(x * GRID).cast("long").alias("bin")).agg(F.count("*").alias("k"))
     med = written(_rank_bin(binned(long, F.col("x")), ["grp", "dim"], 0.5).select("grp", "dim", (F.col("at") / GRID).alias("med")))
-    dev = _rank_bin(binned(long.join(med, ["grp", "dim"]), F.abs(F.col("x") - F.col("med"))), ["grp", "dim"], 0.5)
+    dev = _rank_bin(binned(long.join(F.broadcast(med) if med.count() <= DIMS * MAX_BROADCAST else med, ["grp", "dim"]), F.abs(F.col("x") - F.col("med"))), ["grp", "dim"], 0.5)
     start = med.join(dev, ["grp", "dim"]).withColumn("var", F.pow(F.greatest(1.4826 * F.col("at") / GRID, F.get(F.array(*map(F.lit, FLOOR)), F.col("dim"))), F.lit(2.0)))
     by_dim = F.transform(F.array_sort(F.collect_list(F.struct("dim", "med", "var"))), lambda s: F.struct(s["med"].alias("m"), s["var"].alias("v")))
     cell = [(F.lit(1.0) / F.col("s")[i]["v"]) if i == j else F.lit(0.0) for i in range(DIMS) for j in range(DIMS)]
     now = start.groupBy("grp").agg(by_dim.alias("s")).select("grp", F.col("s.m").alias("mean"), F.array(*cell).alias("inv"))
     for _ in range(STEPS):
-        now = written(now)
+        now = _few(now)
         far = written(stats.join(now, "grp").select("grp", *xs, _bin_d(_distance()).alias("bin")))
         core = _rank_bin(far.groupBy("grp", "bin").agg(F.count("*").alias("k")), ["grp"], CORE)
         sums = F.array(*(F.sum(x) for x in xs))
         products = F.array(*(F.sum(F.col(x) * F.col(y)) for x in xs for y in xs))
-        near = far.join(core, "grp").where("bin <= at").groupBy("grp").agg(F.count("*").cast("double").alias("k"), sums.alias("sums"), products.alias("products"))
+        near = far.join(_few(core), "grp").where("bin <= at").groupBy("grp").agg(F.count("*").cast("double").alias("k"), sums.alias("sums"), products.alias("products"))
         now = _inverse(near)
-    now = written(now)
+    now = _few(now)
     far = stats.join(now, "grp").groupBy("grp", _bin_d(_distance()).alias("bin")).agg(F.count("*").alias("k"))
     half = _rank_bin(far, ["grp"], 0.5)
     # A group whose rows are mostly alike has a tiny median; distances are then left as the least deviations give them.
     scale = F.greatest(F.expm1((F.col("at") + 0.5) / GRID_D) / CHI_MEDIAN, F.lit(1.0))
-    return written(now.join(half, "grp").select("grp", "mean", F.transform("inv", lambda v: v / scale).alias("inv")))
+    return _few(now.join(half, "grp").select("grp", "mean", F.transform("inv", lambda v: v / scale).alias("inv")))
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -186,7 +194,7 @@ def judged(docs: DataFrame) -> DataFrame:
     per = F.sum("k").over(W.partitionBy("grp"))
     counts = counts.withColumn("in_grp", per).withColumn("grp", F.when(F.col("in_grp") >= MIN_GROUP, F.col("grp")).otherwise("{}"))
     counts = counts.withColumn("in_grp", F.sum("k").over(W.partitionBy("grp")))
-    groups = written(counts.where(F.col("in_grp") >= MIN_GROUP).select(pair.alias("pair"), "grp"))
+    groups = _few(counts.where(F.col("in_grp") >= MIN_GROUP).select(pair.alias("pair"), "grp"))
     s = written(s.withColumn("pair", pair).join(groups, "pair", "left").drop("pair"))
     now = estimates(s.where(ok & F.col("grp").isNotNull()).select("grp", *(f"x{i}" for i in range(DIMS))))
     out = s.join(now, "grp", "left").withColumn("distance", F.when(ok, _distance()))
