@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from merkleframe.operators.order import running_total
+
 
 def batch_lookup(keys: DataFrame, objects: DataFrame, on: str, columns: list[str]) -> DataFrame:
     """One answer for each requested key (ordinal, key), duplicates too; null columns for a miss. Only the columns wanted are read."""
@@ -78,11 +80,10 @@ def eviction_order(roots: DataFrame, size: str, last_use: str, name: str, total:
 
     A prefix sum: bytes count as each root's own.
     """
-    w = W.orderBy(last_use, name)
-    before = F.coalesce(F.sum(size).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    used = F.sum(size).over(W.partitionBy())
-    out = roots.withColumn("cum_bytes", F.sum(size).over(w)).withColumn("_before", before).withColumn("_used", used)
-    return out.withColumn("evict", (F.col("_used") - F.col("_before")) * 100 >= F.lit(total) * target_percent).drop("_before", "_used")
+    out = running_total(roots, [last_use, name], size, "cum_bytes")
+    used = roots.agg(F.sum(size).alias("_used"))
+    out = out.join(F.broadcast(used))  # one row
+    return out.withColumn("evict", (F.col("_used") - F.col("cum_bytes") + F.col(size)) * 100 >= F.lit(total) * target_percent).drop("_used")
 
 
 def delta(base: DataFrame, head: DataFrame, key: str, value: str) -> DataFrame:

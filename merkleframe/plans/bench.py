@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from merkleframe.operators import bench as O
@@ -128,9 +127,7 @@ def tree_manifest_identity(spark, d):
     return table(spark, d, "nation").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_name", line.alias("line")))), lambda x: x["line"]), "\n"), 256).alias("identity"), F.count("*").alias("entries"))
 
 
-@query(f"SELECT o_custkey % 100 AS root, count(*)::BIGINT AS objects FROM orders GROUP BY 1")
+@query("SELECT o_custkey % 100 AS root, count(*)::BIGINT AS objects FROM orders GROUP BY 1")
 def object_count(spark, d):
     return table(spark, d, "orders").groupBy((F.col("o_custkey") % 100).alias("root")).agg(F.count("*").alias("objects"))
 
-
-del W

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from merkleframe.operators import graph
+from merkleframe.operators.order import numbered
 from merkleframe.plans.base import SQL_CHUNKS, SQL_LINKS, SQL_OBJECTS, Plans, blobs, graph_links, graph_objects, lines
 from merkleframe.session import table, written
 
@@ -291,18 +292,6 @@ def export_plan(spark, d):
     return numbered(frames, ["section", "id"], "frame", 1)
 
 
-def numbered(df: DataFrame, order: list[str], name: str, start: int = 0) -> DataFrame:
-    """Rows numbered in a global order without one task that holds them all: ranges, their sizes, and places within."""
-    from pyspark.sql import Window as W
-
-    r = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    sizes = r.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per partition
-    ahead = sizes.withColumn("_ahead", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    r = r.join(F.broadcast(ahead), "_part")
-    place = F.row_number().over(W.partitionBy("_part").orderBy(*order))
-    return r.withColumn(name, (F.col("_ahead") + place - 1 + start).cast("long")).select(*df.columns, name)
-
-
 @query(f"""{REACH.format(seeds=EXPORT_ROOTS)}, held AS (SELECT key FROM objects WHERE split_part(key, '/', 2)::BIGINT % 11 <> 0 AND (key IN (SELECT key FROM reach) OR key LIKE 'order/%99'))
 SELECT 'missing' AS side, key FROM reach WHERE key NOT IN (SELECT key FROM held) UNION ALL SELECT 'extra', key FROM held WHERE key NOT IN (SELECT key FROM reach)""")
 def archive_membership_check(spark, d):

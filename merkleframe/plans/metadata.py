@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from merkleframe.functions import identity as I
 from merkleframe.operators import metadata as M
+from merkleframe.operators.order import numbered
 from merkleframe.plans.base import Plans
-from merkleframe.plans.closures import numbered
 from merkleframe.session import table
 from merkleframe.streaming.state import latest_state
 
@@ -308,5 +307,3 @@ def physical_scan_order(spark, d):
 def event_state_stream(spark, d):
     return latest_state(spark, f"{d}/events.parquet", ["user_id", "event_type"], "event_id", ["value"])
 
-
-del W

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from merkleframe.functions import identity as I
 from merkleframe.operators import storage as S
+from merkleframe.operators.order import numbered
 from merkleframe.plans.base import SQL_CHUNKS, Plans, blobs, lines
-from merkleframe.plans.closures import numbered
 from merkleframe.session import table
 
 P = Plans()
@@ -53,7 +53,8 @@ def object_key_text(spark, d):
 @query("SELECT n_nationkey, row_number() OVER (ORDER BY 'geo.r' || n_regionkey || '.v1', encode(n_name))::INT AS rank FROM nation")
 def object_key_order(spark, d):
     ns = F.concat(F.lit("geo.r"), F.col("n_regionkey"), F.lit(".v1"))
-    return table(spark, d, "nation").select("n_nationkey", F.row_number().over(W.orderBy(ns, F.encode("n_name", "UTF-8"))).alias("rank"))  # 25 rows
+    n = table(spark, d, "nation").select("n_nationkey", ns.alias("namespace"), F.encode("n_name", "UTF-8").alias("native_id"))
+    return numbered(n, ["namespace", "native_id"], "rank", 1).select("n_nationkey", F.col("rank").cast("int").alias("rank"))
 
 
 NS = "CASE user_id % 5 WHEN 0 THEN 'ev.' || event_type || '.v1' WHEN 1 THEN event_type WHEN 2 THEN 'Ev.v1' WHEN 3 THEN 'é.v1' ELSE repeat('a', 62) || '.v1' END"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from merkleframe.functions import identity as I
 from merkleframe.operators import graph, trees as T
+from merkleframe.operators.order import numbered
 from merkleframe.plans.base import Plans
 from merkleframe.session import table
 
@@ -223,8 +224,6 @@ def publish_view(spark, d):
 
 @query(f"SELECT 'refs/heads/c' || conv_id AS name, sha1(encode(conv_id || ':' || tip)) AS oid, row_number() OVER (ORDER BY 'refs/heads/c' || conv_id) - 1 AS position FROM {SQL_TIP}")
 def info_refs(spark, d):
-    from merkleframe.plans.closures import numbered
-
     t = tips(commits(spark, d)).select(F.concat(F.lit("refs/heads/c"), "conv_id").alias("name"), F.sha1("id").alias("oid"))
     return numbered(t, ["name"], "position")
 

@@ -200,3 +200,62 @@ class TarImport:
             raise TarError(f"{bad['id']}: {bad['error']} hard link")
         f = to.select(F.col("id").alias("path"), "target").join(files.withColumnRenamed("path", "target"), "target").select("path", "blob_id", "size")
         return build_tree(f.withColumn("root", F.lit("0")), {"0": self.root}, spark)
+
+
+@dataclass(frozen=True)
+class NarImport:
+    """A NAR stream's files under a root name. Symlinks are no links, so they don't make entries here."""
+
+    path: str
+    root: str
+
+    def to_frames(self, spark: SparkSession) -> Frames:
+        import pyarrow as pa
+
+        from merkleframe.sources.nar import unpack
+
+        def parse(batches):
+            for batch in batches:
+                rows = [(p, c) for data in batch["content"].to_pylist() for p, kind, c in unpack(data) if kind in ("file", "executable")]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["path", "content"])
+
+        raw = spark.read.format("binaryFile").load(self.path).select("content").mapInArrow(parse, "path string, content binary")
+        f = raw.select(F.when(F.col("path") == "", "content").otherwise(F.col("path")).alias("path"), F.sha2("content", 256).alias("blob_id"), F.octet_length("content").alias("size"))
+        return build_tree(f.withColumn("root", F.lit("0")), {"0": self.root}, spark)
+
+
+@dataclass(frozen=True)
+class BundleImport:
+    """An exported bundle, all or nothing: what its records name must be there, and nothing else."""
+
+    path: str
+
+    def to_frames(self, spark: SparkSession) -> Frames:
+        from merkleframe.sources.bundle import PAYLOAD, ROOT, BundleError, membership
+
+        wrong = membership(spark, self.path).first()
+        if wrong is not None:
+            raise BundleError(f"{wrong['side']}: {wrong['key']}")
+        b = spark.read.parquet(self.path)
+        none = spark.createDataFrame([], "dir string, name string, child string, kind string, size long")
+        blobs = b.where(f"section = {PAYLOAD}").select(F.col("id").alias("blob_id"), F.octet_length("body").cast("long").alias("size"))
+        return Frames(blobs, none, b.where(f"section = {ROOT}").select(F.col("id").alias("name"), F.col("body").cast("string").alias("target")))
+
+
+def detect(path: str) -> str:
+    """The importer that a local path asks for, by its shape and first bytes."""
+    import os
+
+    from merkleframe.sources.bundle import MAGIC
+
+    if os.path.isdir(path):
+        return "git" if os.path.isdir(os.path.join(path, ".git")) or os.path.isfile(os.path.join(path, "HEAD")) and os.path.isdir(os.path.join(path, "objects")) else "filesystem"
+    with open(path, "rb") as f:
+        head = f.read(1024)
+    if head.startswith(MAGIC):
+        return "bundle"
+    if head[257:262] == b"ustar":
+        return "tar"
+    if head[8:21] == b"nix-archive-1":
+        return "nar"
+    raise ValueError(f"no importer is known for {path}")
