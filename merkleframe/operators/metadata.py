@@ -81,9 +81,8 @@ def eviction_order(roots: DataFrame, size: str, last_use: str, name: str, total:
     A prefix sum: bytes count as each root's own.
     """
     out = running_total(roots, [last_use, name], size, "cum_bytes")
-    used = roots.agg(F.sum(size).alias("_used"))
-    out = out.join(F.broadcast(used))  # one row
-    return out.withColumn("evict", (F.col("_used") - F.col("cum_bytes") + F.col(size)) * 100 >= F.lit(total) * target_percent).drop("_used")
+    used = roots.agg(F.sum(size)).scalar()
+    return out.withColumn("evict", (used - F.col("cum_bytes") + F.col(size)) * 100 >= F.lit(total) * target_percent)
 
 
 def delta(base: DataFrame, head: DataFrame, key: str, value: str) -> DataFrame:

@@ -128,8 +128,8 @@ SELECT event_id AS object, CASE WHEN event_id <= cut THEN 'generation' ELSE 'pin
 def gc_pin_scope_mark(spark, d):
     e = table(spark, d, "events")
     cut = e.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY event_id)").cast("long").alias("cut"))
-    e = e.join(F.broadcast(cut))  # one row
-    return e.where("event_id <= cut OR user_id % 10 = 0").select(F.col("event_id").alias("object"), F.when(F.col("event_id") <= F.col("cut"), "generation").otherwise("pinned").alias("reason"))
+    old = F.col("event_id") <= cut.scalar()
+    return e.where(old | (F.col("user_id") % 10 == 0)).select(F.col("event_id").alias("object"), F.when(old, "generation").otherwise("pinned").alias("reason"))
 
 
 PACK = "l_orderkey % 64"
@@ -196,16 +196,16 @@ def fsck_summary(spark, d):
     n = o.agg(F.count("*").alias("objects_checked"))
     of = lambda x: F.count(F.when(F.col("disposition") == x, 1))
     s = found.agg(of("Corrupt").alias("corrupt"), of("Collectible").alias("collectible"), of("Unchecked").alias("unchecked"), F.count("*").alias("n"))
-    return n.join(F.broadcast(s)).select("objects_checked", "corrupt", "collectible", "unchecked", (F.col("corrupt") == 0).alias("healthy"), (F.col("n") == 0).alias("clean"))
+    return s.select(n.scalar().alias("objects_checked"), "corrupt", "collectible", "unchecked", (F.col("corrupt") == 0).alias("healthy"), (F.col("n") == 0).alias("clean"))
 
 
 RETAINED = "o_orderkey % 3 = 0"
 
 
-@query("SELECT o_orderkey + 1 AS key FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey + 1 NOT IN (SELECT o_orderkey FROM orders)")
+@query("SELECT o_orderkey * 2 AS key FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey * 2 NOT IN (SELECT o_orderkey FROM orders)")
 def retained_unknown_keys(spark, d):
     o = table(spark, d, "orders")
-    wanted = o.where(RETAINED).select((F.col("o_orderkey") + 1).alias("key"))
+    wanted = o.where(RETAINED).select((F.col("o_orderkey") * 2).alias("key"))
     return wanted.join(o.select(F.col("o_orderkey").alias("key")), "key", "left_anti")
 
 
@@ -240,7 +240,7 @@ def validated_named_targets(spark, d):
     return table(spark, d, "orders").where("o_orderstatus = 'F'").join(named, "o_custkey", "left_semi").select("o_orderkey")
 
 
-@query("""SELECT 'unknown' AS guard, count(*)::BIGINT AS n FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey + 1 NOT IN (SELECT o_orderkey FROM orders)
+@query("""SELECT 'unknown' AS guard, count(*)::BIGINT AS n FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey * 2 NOT IN (SELECT o_orderkey FROM orders)
 UNION ALL SELECT 'omitted root', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0)
 UNION ALL SELECT 'omitted target', count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey % 3 = 0 AND l_partkey % 4 = 0)""")
 def retained_install_guards(spark, d):
@@ -265,10 +265,10 @@ def page_tree_gc(spark, d):
     return li.select("page").distinct().join(marked, "page", "left_anti")
 
 
-@query("SELECT DISTINCT user_id AS catalog FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+@query("SELECT DISTINCT user_id AS catalog FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND event_id % 20 = 0)")
 def catalog_object_gc(spark, d):
     e = table(spark, d, "events")
-    return e.select(F.col("user_id").alias("catalog")).distinct().join(e.where("event_type = 'purchase'").select(F.col("user_id").alias("catalog")), "catalog", "left_anti")
+    return e.select(F.col("user_id").alias("catalog")).distinct().join(e.where("event_type = 'purchase' AND event_id % 20 = 0").select(F.col("user_id").alias("catalog")), "catalog", "left_anti")
 
 
 @query("SELECT DISTINCT sha256(text) AS identity FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")

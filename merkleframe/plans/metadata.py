@@ -114,7 +114,7 @@ def metadata_get(spark, d):
 def as_of_snapshot(spark, d):
     e = table(spark, d, "events").select("user_id", "event_type", "ts", "event_id", "value")
     cut = e.agg((F.min("ts") + (F.max("ts") - F.min("ts")) / 2).alias("cut"))
-    now = M.latest(e.join(F.broadcast(cut)), ["user_id", "event_type"], ["ts"], F.col("ts") <= F.col("cut"))
+    now = M.latest(e, ["user_id", "event_type"], ["ts"], F.col("ts") <= cut.scalar())
     return now.select("user_id", "event_type", "event_id", "value")
 
 
@@ -259,12 +259,12 @@ def run_level_placement(spark, d):
     return table(spark, d, "events").select("event_id", carried.alias("level"))
 
 
-@query("SELECT event_id // 64 AS fragment, count(*)::BIGINT AS records FROM events WHERE event_id // 64 < (SELECT min(event_id) // 64 FROM events WHERE user_id = 7) GROUP BY 1")
+@query("SELECT event_id // 64 AS fragment, count(*)::BIGINT AS records FROM events WHERE event_id // 64 < (SELECT min(event_id) // 64 FROM events WHERE event_id % 1000 = 999) GROUP BY 1")
 def wal_prunable_fragments(spark, d):
     e = table(spark, d, "events")
-    pinned = e.where("user_id = 7").agg(F.floor(F.min("event_id") / 64).alias("oldest"))
+    pinned = e.where("event_id % 1000 = 999").agg(F.floor(F.min("event_id") / 64).alias("oldest"))
     f = e.groupBy(F.floor(F.col("event_id") / 64).alias("fragment")).agg(F.count("*").alias("records"))
-    return f.join(F.broadcast(pinned)).where("fragment < oldest").select("fragment", "records")
+    return f.where(F.col("fragment") < pinned.scalar()).select("fragment", "records")
 
 
 @query("SELECT user_id AS key, bool_or(event_type = 'purchase') AS recursive, min(event_id) AS first FROM events GROUP BY 1")

@@ -251,7 +251,7 @@ def ingest_cache_hits(spark, d):
 @query(f"SELECT count(DISTINCT blob_id)::BIGINT AS blobs, (SELECT count(DISTINCT chunk_id)::BIGINT FROM ({SQL_CHUNKS})) AS chunks FROM {B}")
 def physical_inventory(spark, d):
     c = lines(spark, d).agg(F.countDistinct("chunk_id").alias("chunks"))
-    return blobs(spark, d).agg(F.countDistinct("blob_id").alias("blobs")).join(F.broadcast(c))
+    return blobs(spark, d).agg(F.countDistinct("blob_id").alias("blobs")).select("blobs", c.scalar().alias("chunks"))
 
 
 @query(f"SELECT doc_id, blob_id, blob_id IN (SELECT blob_id FROM {B} WHERE doc_id % 3 <> 0) AS present FROM {B}")
