@@ -113,9 +113,8 @@ def gc_preview(spark, d):
     live = F.col("doc_id") % 2 == 0
     dead_blobs = b.select("blob_id").distinct().join(b.where(live).select("blob_id"), "blob_id", "left_anti")
     dead_chunks = c.select("chunk_id").distinct().join(c.where(live).select("chunk_id"), "chunk_id", "left_anti")
-    one = lambda df, name: df.agg(F.count("*").alias(name)).withColumn("what", F.lit(1))
-    out = one(b.where(~live), "logical_objects").join(one(dead_blobs, "payload_blobs"), "what").join(one(dead_chunks, "chunks"), "what")
-    return out.drop("what")
+    n = lambda df: df.agg(F.count("*").alias("n"))
+    return n(b.where(~live)).select(F.col("n").alias("logical_objects"), n(dead_blobs).scalar().alias("payload_blobs"), n(dead_chunks).scalar().alias("chunks"))
 
 
 @query(f"SELECT chunk_id, count(*)::BIGINT AS refs FROM ({SQL_CHUNKS}) WHERE doc_id % 2 = 0 GROUP BY chunk_id")
