@@ -38,3 +38,9 @@ def test_queries_against_their_sql(spark, name):
     got = registry.queries()[name](spark, SF).select(*columns)
     order = [[c[0] for c in want.description].index(c) for c in columns]
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(str(tuple(r[i] for i in order)) for r in want.fetchall())
+
+
+@pytest.mark.parametrize("name", ["op1_decontamination", "op2_license_scan", "op7_line_dedup"])
+def test_native_queries_run_no_python(spark, name):
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "InArrow", "ArrowEval"))
