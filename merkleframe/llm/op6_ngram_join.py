@@ -36,6 +36,8 @@ COUNTERS = 1 << 20
 BLOCK = 1 << 16
 #: Rows of one shingle that are dealt to one task at most, by the sketch.
 HOT = 4000
+#: Rows of a few numbers each that are broadcast at most; more are joined by a shuffle.
+MAX_BROADCAST = 2_000_000
 #: Bits for each wanted document in the filter of step 4, and the most there are.
 BLOOM_BITS, MAX_BLOOM = 16, 1 << 28
 
@@ -113,11 +115,17 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return d.mapInArrow(sign, "doc_id long, version long, n long, d1 long, d2 long, grp long, prefix array<long>, salts array<int>")
 
 
-def _shared(signed: DataFrame) -> DataFrame:
-    """The postings (token, salt, grp, n, pos) of shingles that are in two groups or more, or that are salted."""
+def _shared(signed: DataFrame, percent: int) -> DataFrame:
+    """The postings (token, grp, n, pos, band, x_grp, x_n, x_pos) of shingles that are in two groups or more, or that are salted.
+
+    ``band``: the size in steps of the similarity; sizes that may link are a step apart at most. ``x``: the posting that leads
+    the shingle's band, the earliest in its prefix. The original of many near copies has no shingles of its own, so that a
+    shared one comes early there, and it links with most of them, as a random copy wouldn't.
+    """
     p = signed.where("n > 0").select("grp", "n", F.posexplode(F.arrays_zip("prefix", "salts")).alias("pos", "p"))
     p = p.select(F.col("p.prefix").alias("token"), F.col("p.salts").alias("salt"), "grp", "n", "pos")
-    schema = "token long, salt int, grp long, n long, pos int"
+    names = ["token", "grp", "n", "pos", "band", "x_grp", "x_n", "x_pos"]
+    schema = "token long, grp long, n long, pos int, band int, x_grp long, x_n long, x_pos int"
 
     def keep(batches):
         held: list[pa.RecordBatch] = []  # of the last shingle, which the next batch may go on with
@@ -142,17 +150,31 @@ def _shared(signed: DataFrame) -> DataFrame:
         many = (grp[starts] != grp[ends - 1]) | (salt[starts] >= 0)  # groups are sorted within
         row = np.repeat(many, ends - starts)
         row[1:] &= (np.diff(grp) != 0) | (np.diff(token) != 0) | (np.diff(salt) != 0)  # a group's documents post alike: once
-        if row.any():
-            yield from t.filter(pa.array(row)).combine_chunks().to_batches()
+        if not row.any():
+            return
+        token, salt, grp, n, pos = token[row], salt[row], grp[row], t["n"].to_numpy()[row], t["pos"].to_numpy()[row]
+        run = np.concatenate([[0], np.cumsum((np.diff(token) != 0) | (np.diff(salt) != 0))])
+        band = np.floor(np.log(n) / np.log(100 / percent)).astype(np.int32)
+        order = np.lexsort((grp, pos, band, run))
+        first = np.concatenate([[True], (np.diff(run[order]) != 0) | (np.diff(band[order]) != 0)])
+        lead = np.empty(len(order), np.int64)
+        lead[order] = order[first][np.cumsum(first) - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (token, grp, n, pos, band, grp[lead], n[lead], pos[lead])], names)
 
     return p.repartition("token", "salt").sortWithinPartitions("token", "salt", "grp").mapInArrow(keep, schema)
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """The frame, written, to be broadcast if it is small."""
+    df = written(df)
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+
+
 def _may_link(a: str, b: str, percent: int) -> str:
-    """Of two postings of one shingle: sizes within the similarity, and as much of the sets left as it needs."""
+    """Of two postings of one shingle, whose columns have these prefixes: sizes within the similarity, and as much of the sets left as it needs."""
     return (
-        f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) AND "
-        f"{100 + percent} * (1 + least({a}.n - {a}.pos, {b}.n - {b}.pos) - 1) >= {percent} * ({a}.n + {b}.n)"
+        f"100 * least({a}n, {b}n) >= {percent} * greatest({a}n, {b}n) AND "
+        f"{100 + percent} * least({a}n - {a}pos, {b}n - {b}pos) >= {percent} * ({a}n + {b}n)"
     )
 
 
@@ -217,7 +239,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                 ok[r] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
             yield batch.select(["u", "v"]).filter(pa.array(ok))
 
-    return pairs.join(b, "v").join(a, "u").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
+    return b.join(_few(pairs), "v").join(a, "u").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
 
 
 def _places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -250,13 +272,9 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     ties = mine.join(same, "doc_id").select("u", F.col("cls").alias("v")).where("u <> v")
 
     members = classes.select("grp", "cls", F.col("cls").alias("comp"))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")
-    post = written(_shared(signed.where("doc_id IS NOT NULL")).withColumn("band", band))
-    # The original of many near copies has no shingles of its own, so that a shared one is early in its prefix.
-    lead = F.min(F.struct("pos", "grp", "n"))
-    stars = post.groupBy("token", "band").agg(lead.alias("x"))
-    star = post.alias("y").join(stars.alias("s"), ["token", "band"]).where("x.grp <> y.grp").where(_may_link("x", "y", percent))
-    star = star.groupBy(F.col("y.grp").alias("h"), F.col("x.grp").alias("g")).agg(F.count("*").alias("k"))
+    post = written(_shared(signed.where("doc_id IS NOT NULL"), percent))
+    star = post.where("grp <> x_grp").where(_may_link("", "x_", percent))
+    star = star.groupBy(F.col("grp").alias("h"), F.col("x_grp").alias("g")).agg(F.count("*").alias("k"))
     star = star.groupBy("h").agg(F.max_by("g", F.struct("k", "g")).alias("g"))
     inner = members.groupBy("grp").agg(F.min("cls").alias("u"))
     first = star.join(inner.withColumnRenamed("grp", "g"), "g").join(members.select(F.col("grp").alias("h"), F.col("cls").alias("v")), "h").select("u", "v")
@@ -267,15 +285,15 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     comp = components(links)
 
     members = written(members.drop("comp").join(comp.select(F.col("node").alias("cls"), F.col("component").alias("comp")), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")))
-    by_group = members.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    post = post.join(by_group, "grp")
+    by_group = _few(members.groupBy("grp").agg(F.min("comp").alias("low"), F.max("comp").alias("high")))
+    post = post.select("token", "grp", "n", "pos", "band").join(by_group, "grp")
     here = post.groupBy("token", "low").agg(F.count("*").alias("k"), F.max("high").alias("high"))
     here = here.groupBy("token").agg(F.max_by("low", F.struct("k", "low")).alias("most"), F.min("low").alias("least"), F.max("high").alias("top")).where("least < top").select("token", "most")
-    post = written(post.join(here, "token"))
+    post = written(post.join(_few(here), "token"))
     # What isn't in a shingle's largest component, against all that the shingle is in; sizes that may link are in the same band or the next.
     odd = post.where("low <> most OR high <> most").withColumn("near", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     cross = odd.alias("x").join(post.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.near") == F.col("y.band")))
-    cross = cross.where("x.grp <> y.grp AND (x.low <> y.low OR x.high <> y.high OR x.low <> x.high)").where(_may_link("x", "y", percent))
+    cross = cross.where("x.grp <> y.grp AND (x.low <> y.low OR x.high <> y.high OR x.low <> x.high)").where(_may_link("x.", "y.", percent))
     cross = cross.select(F.least("x.grp", "y.grp").alias("g"), F.greatest("x.grp", "y.grp").alias("h"))
     cross = cross.union(by_group.where("low < high").select(F.col("grp").alias("g"), F.col("grp").alias("h"))).distinct()
     rest = written(_expanded(cross, members).join(tried, ["u", "v"], "left_anti"))
