@@ -29,7 +29,7 @@ def object_batch_lookup(spark, d):
     return M.batch_lookup(wanted_parts(spark, d), table(spark, d, "part"), "p_partkey", ["p_name", "p_size"])
 
 
-@query("SELECT ordinal, p_partkey, p_brand FROM (VALUES (0, 5), (1, -1), (2, 7), (3, 5)) v(ordinal, p_partkey) LEFT JOIN part USING (p_partkey)")
+@query("SELECT ordinal, p_partkey, p_brand FROM (VALUES (0, 5::BIGINT), (1, -1), (2, 7), (3, 5)) v(ordinal, p_partkey) LEFT JOIN part USING (p_partkey)")
 def batch_lookup_values(spark, d):
     keys = spark.createDataFrame([(0, 5), (1, -1), (2, 7), (3, 5)], "ordinal int, p_partkey long")
     return M.batch_lookup(F.broadcast(keys), table(spark, d, "part"), "p_partkey", ["p_brand"])

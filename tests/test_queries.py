@@ -7,6 +7,7 @@ from merkleframe.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+KINDS = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +26,8 @@ def plain(x):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query(spark, con, name):
     df = registry.queries()[name](spark, SF)
+    types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {registry.oracle_sql()[name]}").fetchall()}
+    assert {c: KINDS.get(t, t) for c, t in df.dtypes} == types
     r = con.execute(registry.oracle_sql()[name])
     theirs = [c[0] for c in r.description]
     assert sorted(df.columns) == sorted(theirs)
