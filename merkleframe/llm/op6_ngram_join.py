@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,15 +43,17 @@ BLOOM_BITS, MAX_BLOOM = 16, 1 << 28
 
 def _sets(text: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray]]:
     """Row and sorted distinct shingle hashes of each text."""
-    text = pc.ascii_lower(pc.fill_null(text.cast(pa.large_string()), ""))
+    text = text.fill_null("") if text.null_count else text
     for a, b in A.slices(text):
         buf, offsets = A.text_bytes(text.slice(a, b - a))
+        buf = A.LOWER[buf]
         starts, ends, rows = A.words(buf, offsets)
         bounds = A.per_row(rows, b - a)
         h, at = A.shingles(A.segment_hashes(buf, starts, ends), bounds, size)
         cut = np.searchsorted(at, bounds)
         for r in range(b - a):
             yield a + r, np.unique(h[cut[r] : cut[r + 1]])
+    pa.default_memory_pool().release_unused()
 
 
 def _sketch(docs: DataFrame, size: int) -> np.ndarray:
