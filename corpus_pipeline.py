@@ -18,8 +18,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op3_quality_rules.keep_good(docs)
 
 
+#: Near copies of the stage: shingles of so many words, and the similarity in hundredths. The op6 query has values of its own.
+SHINGLE, PERCENT = 5, 80
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op6_ngram_join.one_of_each(docs)
+    return op6_ngram_join.one_of_each(docs, SHINGLE, PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

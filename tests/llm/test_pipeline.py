@@ -28,6 +28,24 @@ def test_stages_on_odd_rows(spark, docs):
         assert docs.count() > 0, name
 
 
+def test_near_copies_of_five_words_and_80_percent_go(spark):
+    def jaccard(a, b, size):
+        x, y = ({tuple(t[i : i + size]) for i in range(len(t) - size + 1)} for t in (a.split(), b.split()))
+        return len(x & y) / len(x | y)
+
+    rows, wanted = [], set()
+    # Words in the text, which of them are changed in the copy, and whether that is near enough.
+    for k, (n, edits, near) in enumerate([(50, [25], True), (95, [30, 45], True), (60, [30, 45], False)]):
+        words = [f"d{k}w{i}" for i in range(n)]
+        copy = [f"edited{i}" if i in edits else w for i, w in enumerate(words)]
+        texts = " ".join(words), " ".join(copy)
+        assert jaccard(*texts, 4) < 0.85 and (0.8 <= jaccard(*texts, 5) < 0.85) == near
+        rows += [(2 * k, texts[0]), (2 * k + 1, texts[1])]
+        wanted |= {2 * k} if near else {2 * k, 2 * k + 1}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in C.near_duplicates(spark, df, SF).collect()} == wanted
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_queries_against_their_sql(spark, name):
     con = duckdb.connect()
