@@ -23,10 +23,12 @@ from merkleframe.session import table, written
 MIN_WORDS = 50
 #: Share of a group's rows that its estimate rests on, and the steps towards it.
 CORE, STEPS = 0.75, 5
-#: Groups of fewer rows are estimated with the rest of their language, and those with all such.
+#: Rows of smaller groups are judged by the estimate of their whole language, and those of smaller languages by that of all rows.
 MIN_GROUP = 200
 #: Median of chi-square of DIMS degrees, to which distances are scaled, and the squared distance beyond which a row goes.
 DIMS, CHI_MEDIAN, CUT = 4, 3.3567, 100.0
+#: Rows that the estimate of all rows needs: as many as put DIMS + 1 into the core, fewer of which span no covariance.
+LEAST = int(DIMS / CORE) + 1
 #: Least standard deviation of each statistic, so that one that most rows share isn't infinitely strict.
 FLOOR = (0.05, 0.5, 0.5, 0.5)
 #: Groups whose estimates are broadcast at most, of some 200 bytes each; more are joined by a shuffle.
@@ -181,22 +183,25 @@ def judged(docs: DataFrame) -> DataFrame:
 
     A text of under MIN_WORDS words, or of which over half the words stand in repeated 3-word windows, fails the base
     rules. Of the others, those with a squared distance of over CUT to their group's estimate are not kept. A null
-    language or source is a value like any other. Groups of under MIN_GROUP rows are merged; where all rows together are
-    fewer, the method has no say and they are kept. distance is null where it has none. An empty table gives an empty one.
+    language or source is a value like any other. Rows of a group of under MIN_GROUP are judged by the estimate of all rows
+    of their language, and where these are fewer too, of all rows that pass the base rules. Only if those are under LEAST in
+    all, they are kept, and distance is null. An empty table gives an empty one.
     """
     s = base_statistics(docs).withColumn("base_failed", base_failed())
     ok = ~F.col("base_failed")
     s = written(s.select("*", *(F.when(ok, v).alias(f"x{i}") for i, v in enumerate(_vector()))))
-    pair = F.to_json(F.struct("lang", "source"))
-    lang = F.to_json(F.struct("lang"))
-    counts = s.where(ok).groupBy("lang", "source").agg(F.count("*").alias("k"))
-    counts = counts.withColumn("grp", F.when(F.col("k") >= MIN_GROUP, pair).otherwise(lang))
-    per = F.sum("k").over(W.partitionBy("grp"))
-    counts = counts.withColumn("in_grp", per).withColumn("grp", F.when(F.col("in_grp") >= MIN_GROUP, F.col("grp")).otherwise("{}"))
-    counts = counts.withColumn("in_grp", F.sum("k").over(W.partitionBy("grp")))
-    groups = _few(counts.where(F.col("in_grp") >= MIN_GROUP).select(pair.alias("pair"), "grp"))
+    # With the nulls, so that a group without a source isn't its language, nor one without either all rows.
+    pair, lang = (F.to_json(F.struct(*c), {"ignoreNullFields": "false"}) for c in (("lang", "source"), ("lang",)))
+    counts = written(s.where(ok).groupBy(pair.alias("pair"), lang.alias("whole")).agg(F.count("*").alias("k")))
+    langs = _few(counts.groupBy("whole").agg(F.sum("k").alias("in_lang"), F.min("k").alias("least")))
+    every = langs.agg(F.sum("in_lang").alias("in_all"), F.min("in_lang").alias("least_lang"))
+    own, by_lang, by_all = F.col("k") >= MIN_GROUP, F.col("in_lang") >= MIN_GROUP, F.col("in_all") >= LEAST
+    # The group a row is judged by, and those whose estimates it is a part of: only such as judge some row.
+    parts = F.array(F.when(own, F.col("pair")), F.when(by_lang & (F.col("least") < MIN_GROUP), F.col("whole")), F.when(by_all & (F.col("least_lang") < MIN_GROUP), F.lit("{}")))
+    grp = F.when(own, F.col("pair")).when(by_lang, F.col("whole")).when(by_all, F.lit("{}"))
+    groups = _few(counts.join(langs, "whole").crossJoin(F.broadcast(every)).select("pair", grp.alias("grp"), F.array_compact(parts).alias("parts")))
     s = written(s.withColumn("pair", pair).join(groups, "pair", "left").drop("pair"))
-    now = estimates(s.where(ok & F.col("grp").isNotNull()).select("grp", *(f"x{i}" for i in range(DIMS))))
+    now = estimates(s.where(ok).select(F.explode("parts").alias("grp"), *(f"x{i}" for i in range(DIMS))))
     out = s.join(now, "grp", "left").withColumn("distance", F.when(ok, _distance()))
     kept = ok & (F.col("distance").isNull() | (F.col("distance") <= CUT))
     return out.select("doc_id", "version", *_COUNTS, "base_failed", "distance", kept.alias("kept"))

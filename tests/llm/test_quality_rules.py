@@ -65,3 +65,29 @@ def test_small_and_empty(spark, empty, crowded, unharmed):
     assert got == {1: (True, None), 2: (False, None)}
     assert O.judged(empty).count() == 0 and O.keep_good(empty).count() == 0
     unharmed(O.keep_good(crowded), crowded)
+
+
+def prose(rng, symbols=False):
+    w = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(60, 300))]
+    return " ".join(x + "###" if symbols else x for x in w)
+
+
+@pytest.mark.parametrize("large", [0, 600])
+def test_small_groups_fall_back(spark, large):
+    # Beside a large group or alone: sources of few rows of one language, and rare languages, each with an outlier of its own.
+    rng = random.Random(2)
+    groups = [("en", "a")] * large + [("en", f"few{i % 3}") for i in range(60)] + [("fr", "b")] * 20 + [(None, None)] * 20 + [("en", None)] * 20
+    outliers = [("en", "few0"), ("fr", "b"), (None, None), ("en", None)]
+    rows = [(i, prose(rng), *g) for i, g in enumerate(groups)] + [(-1 - i, prose(rng, True), *g) for i, g in enumerate(outliers)]
+    got = O.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.distance is not None and r.kept == (r.doc_id >= 0), (r.doc_id, r.distance)
+
+
+def test_least_rows_of_an_estimate(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng), "en", "a") for i in range(O.LEAST)]
+    schema = "doc_id long, text string, lang string, source string"
+    assert all(r.distance is not None for r in O.judged(spark.createDataFrame(rows, schema)).collect())
+    assert all(r.distance is None and r.kept for r in O.judged(spark.createDataFrame(rows[1:], schema)).collect())
