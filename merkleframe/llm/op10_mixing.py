@@ -119,11 +119,21 @@ def curriculum(docs: DataFrame) -> DataFrame:
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     a = assign(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return a.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    at = [F.get("positions", F.lit(j)).alias(f"position_{j + 1}") for j in range(MAX_PASSES)]
+    out = a.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), *at)
+    return out.repartitionByRange("position_1", "doc_id").sortWithinPartitions("position_1", "doc_id")
 
 
 QUERIES = {"op10_mixing": op10_mixing}
 
+
+
+def _sql_due(j: int) -> str:
+    """The position of copy j: the demand of its source, inverted."""
+    demand = f"least(({j} * source_size + before)::DOUBLE / greatest(target, 1.0), 1.0)"
+    return f"CASE WHEN copies <= {j} THEN NULL WHEN tilt = 0 THEN {demand} ELSE (sqrt((1 - tilt / 2) * (1 - tilt / 2) + 2 * tilt * {demand}) - (1 - tilt / 2)) / tilt END"
+
+
 ORACLE = {
     "op10_mixing": f"""
 WITH d AS (
@@ -139,17 +149,16 @@ v AS (
 ), l AS (SELECT *, (total - before::DOUBLE) / rest::DOUBLE AS level FROM v),
 m AS (SELECT arg_min(level, before) AS level FROM l WHERE lim > weight * level),
 t AS (
-  SELECT l.source, l.source_size, CASE WHEN l.lim <= l.weight * l.level OR m.level IS NULL THEN l.lim::DOUBLE ELSE l.weight * m.level END AS target
+  SELECT l.source, l.place, l.source_size, CASE WHEN l.lim <= l.weight * l.level OR m.level IS NULL THEN l.lim::DOUBLE ELSE l.weight * m.level END AS target
   FROM l LEFT JOIN m ON true
 ), k AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.size, t.source_size, t.target, [{", ".join(map(str, TILTS))}][(t.place % {len(TILTS)} + 1)::INT]::DOUBLE AS tilt,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY ('0x' || substr(h, 1, 8))::BIGINT % r.n, h, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM (SELECT *, md5(coalesce(doc_id::VARCHAR, 'null') || ':{SEED}') AS h FROM d) d
   JOIN t ON d.source IS NOT DISTINCT FROM t.source,
   (SELECT pow(2, greatest(4, length(bin(floor(sqrt(count(*)))::BIGINT))))::BIGINT AS n FROM d) r
 )
-SELECT doc_id, size, source_size, target,
-       (size * ((before + size / 2.0 <= target)::INT + (source_size + before + size / 2.0 <= target)::INT))::BIGINT AS taken
-FROM k
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, {_sql_due(0)} AS position_1, {_sql_due(1)} AS position_2
+FROM (SELECT *, (before + size / 2.0 <= target)::INT + (source_size + before + size / 2.0 <= target)::INT AS copies FROM k)
 """
 }

@@ -121,10 +121,11 @@ def contaminated() -> Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", size: int = WINDOW) -> DataFrame:
-    """``docs`` without the contaminated documents, or ("spans") with the hit words cut out of their texts.
+def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", size: int = WINDOW, share: bool = False) -> DataFrame:
+    """``docs`` without the documents that have a hit, or ("spans") with the hit words cut out of their texts.
 
-    A document is contaminated if at least a twentieth of its words is hit. Columns and clean rows stay as they are.
+    With ``share`` only those documents go of whose words at least a twentieth is hit; longer ones keep their passages.
+    Columns and clean rows stay as they are.
     """
     h = hits(docs, benchmark, size)
     own, gid, gversion, spans = fresh(docs, "own", "hit_id", "hit_version", "spans")
@@ -132,7 +133,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", size:
     same = F.col("doc_id").eqNullSafe(F.col(gid)) & (F.col(own) == F.col(gversion))
     ids = [F.col("doc_id").alias(gid), F.col("version").alias(gversion)]
     if mode == "documents":
-        return d.join(h.where(contaminated()).select(*ids), same, "left_anti").select(*docs.columns)
+        return d.join(h.where(contaminated() if share else "n_hit > 0").select(*ids), same, "left_anti").select(*docs.columns)
     if mode != "spans":
         raise ValueError(mode)
     out = d.join(h.where("n_hit > 0").select(*ids, F.col("spans").alias(spans)), same, "left")

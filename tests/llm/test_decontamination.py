@@ -37,6 +37,7 @@ def planted(corpus):
         w = words(corpus[0][1])
         at = rng.randrange(len(w) - 15)
         rows.append((i, corpus[50 + i % 10][1] + " -- " + " ".join(w[at : at + 10 + i % 8]).upper() + "!", "en", "a", 0))
+    rows.append((1020, " ".join(f"w{i}" for i in range(400)) + " " + " ".join(words(corpus[0][1])[3:17]), "en", "a", 0))  # under a twentieth
     return rows, items
 
 
@@ -62,8 +63,11 @@ def test_removal(spark, planted, crowded, unharmed):
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     b = spark.createDataFrame(items, "item_id long, text string")
     bad = {str((r[0], r[1])) for r in brute(rows, items) if r[2] and 20 * r[2] >= r[1]}
-    kept = O.remove(d, b)
+    kept = O.remove(d, b, share=True)
     assert kept.columns == d.columns and kept.count() == len(rows) - sum(str((r[0], len(words(r[1])))) in bad for r in rows)
+    hit = {str((r[0], r[1])) for r in brute(rows, items) if r[2]}
+    assert len(hit) > len(bad)
+    assert O.remove(d, b).count() == len(rows) - sum(str((r[0], len(words(r[1])))) in hit for r in rows)
     cut = O.remove(d, b, "spans")
     assert cut.count() == len(rows)
     clean = [(r.doc_id, r.text) for r in cut.collect()]

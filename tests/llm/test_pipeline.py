@@ -1,3 +1,5 @@
+import re
+
 import duckdb
 import pytest
 
@@ -28,6 +30,19 @@ def test_stages_on_odd_rows(spark, docs):
         assert docs.count() > 0, name
 
 
+def test_no_benchmark_window_stays(spark):
+    def windows(text):
+        w = [x for x in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
+        return {tuple(w[i : i + 13]) for i in range(max(1, len(w) - 12)) if w}
+
+    sf = "/root/testdata/sf0.01"
+    leaked = {x for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() for x in windows(r["text"])}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = {r.doc_id: windows(r.text) for r in C.decontamination(spark, docs, sf).collect()}
+    assert not any(w & leaked for w in kept.values())
+    assert set(kept) == {r.doc_id for r in docs.collect() if not windows(r.text) & leaked}
+
+
 def test_near_copies_of_five_words_and_80_percent_go(spark):
     def jaccard(a, b, size):
         x, y = ({tuple(t[i : i + size]) for i in range(len(t) - size + 1)} for t in (a.split(), b.split()))
