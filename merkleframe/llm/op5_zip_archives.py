@@ -21,7 +21,7 @@ from contextlib import contextmanager
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merkleframe.session import scratch, table, written
@@ -30,8 +30,10 @@ from merkleframe.session import scratch, table, written
 MIN_DEDUP = 100
 #: Bytes of records in a package, about, and of an index range that one task reads at once.
 PACKAGE_BYTES, RANGE_BYTES = 64 << 20, 4 << 20
-#: Revisits that are broadcast at most, of some 40 bytes each; more are joined by a shuffle.
-MAX_BROADCAST = 500_000
+#: Tasks that read packages or ranges, at most.
+TASKS = 20_000
+#: Revisits that are broadcast at most, of some 120 bytes each; more are joined by a shuffle.
+MAX_BROADCAST = 200_000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj.gz"
 _END, _END64, _LOCATOR64, _CENTRAL, _LOCAL = 0x06054B50, 0x06064B50, 0x07064B50, 0x02014B50, 0x04034B50
 _FULL32, _FULL16 = 0xFFFFFFFF, 0xFFFF
@@ -144,7 +146,7 @@ def central_directory(f, size: int) -> dict[str, tuple[int, int]]:
     return out
 
 
-def _record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """A WARC record of a page: its HTTP head, and the payload unless it revisits another page's."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if refers_to is None else b"")
@@ -159,8 +161,8 @@ def _record(page_id: int, url: str | None, payload: bytes, digest: str, refers_t
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def _urn(page_id: int) -> str:
-    return f"<urn:page:{page_id}>"
+def _urn(page_id: int | None) -> str:
+    return f"<urn:page:{'none' if page_id is None else page_id}>"
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -177,23 +179,27 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def revisits(pages: DataFrame, min_bytes: int = MIN_DEDUP) -> DataFrame:
-    """(page_id, refers_to): the pages whose payload a page of a smaller id has too."""
-    p = pages.select("page_id", F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n"))
-    p = written(p.where(f"n >= {min_bytes} AND page_id IS NOT NULL"))
+    """(page_id, digest, n, refers_to): the pages, by id and payload, whose payload a page of a smaller id has too."""
+    p = written(pages.select("page_id", *_payload()).where(f"n >= {min_bytes} AND page_id IS NOT NULL"))
     firsts = written(p.groupBy("digest", "n").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("top")).where("refers_to < top").select("digest", "n", "refers_to"))
-    return p.join(firsts, ["digest", "n"]).where("page_id > refers_to").select("page_id", "refers_to").distinct()
+    return p.join(firsts, ["digest", "n"]).where("page_id > refers_to").distinct().select("page_id", "digest", "n", "refers_to")
+
+
+def _payload() -> list[Column]:
+    html = F.coalesce("html", F.lit(""))
+    return [F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("n")]
 
 
 def write_packages(pages: DataFrame, folder: str, min_bytes: int = MIN_DEDUP, force64: bool = False) -> DataFrame:
     """(package, records) of the packages written into ``folder``: a record per row of ``pages`` (page_id, url, html).
 
     A null html is an empty payload, a null url an empty one; line breaks in a url are percent-encoded. Of pages with equal payloads of ``min_bytes`` or more the
-    one with the smallest page_id is a response, and the others revisit it; rows that repeat a page_id are all what that
-    page is. Null page_ids have no record: nothing could name it.
+    one with the smallest page_id is a response, and the others revisit it; rows that repeat a page_id are a record each, by
+    their own payloads. A row without a page_id is a response, as nothing could name it.
     """
     r = written(revisits(pages, min_bytes))
-    p = pages.where("page_id IS NOT NULL").select(F.col("page_id").cast("long"), "url", "html")
-    p = p.join(F.broadcast(r) if r.count() <= MAX_BROADCAST else r, "page_id", "left")
+    r = F.broadcast(r) if r.count() <= MAX_BROADCAST else r
+    p = pages.select(F.col("page_id").cast("long"), "url", "html", *_payload()).join(r, ["page_id", "digest", "n"], "left").select("page_id", "url", "html", "refers_to")
 
     def write(batches):
         package = None
@@ -259,7 +265,13 @@ def index_ranges(packages: DataFrame) -> DataFrame:
                     runs[-1][1].append(entry["length"])
                 yield pa.RecordBatch.from_pydict({"package": pa.array([uri] * len(runs), pa.string()), "first": pa.array([r[0] for r in runs], pa.int64()), "lengths": pa.array([r[1] for r in runs], pa.list_(pa.int64()))})
 
-    return packages.select("package").mapInArrow(plan, "package string, first long, lengths array<long>")
+    p = packages.select("package")
+    return written(p.repartition(_tasks(p)).mapInArrow(plan, "package string, first long, lengths array<long>"))
+
+
+def _tasks(rows: DataFrame) -> int:
+    """A task for each row, up to TASKS: rows are a few bytes, so that adaptive execution would put them all into one."""
+    return min(TASKS, max(1, rows.count()))
 
 
 def read_records(ranges: DataFrame) -> DataFrame:
@@ -286,11 +298,12 @@ def read_records(ranges: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     schema = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, html string"
-    return ranges.repartition("package", "first").mapInArrow(read, schema)
+    return ranges.repartition(_tasks(ranges)).mapInArrow(read, schema)
 
 
-def _page(urn: str) -> int:
-    return int(urn.removeprefix("<urn:page:").removesuffix(">"))
+def _page(urn: str) -> int | None:
+    page = urn.removeprefix("<urn:page:").removesuffix(">")
+    return None if page == "none" else int(page)
 
 
 def op5_zip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:

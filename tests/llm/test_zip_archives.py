@@ -19,9 +19,13 @@ def rows():
 
 @pytest.mark.parametrize("force64", [False, True])
 def test_round_trip(spark, rows, force64):
-    pages = spark.createDataFrame([*rows, (None, "u", "nobody's")], "page_id long, url string, html string").repartition(3)
+    pages = spark.createDataFrame([*rows, (None, "u", "nobody's" * 30), (None, "u", "nobody's" * 30)], "page_id long, url string, html string").repartition(3)
     packages = O.write_packages(pages, scratch(spark), force64=force64)
-    got = [r.asDict() for r in O.read_records(O.index_ranges(packages)).collect()]
+    read = O.read_records(O.index_ranges(packages))
+    assert read.rdd.getNumPartitions() >= packages.count() > 1
+    got = [r.asDict() for r in read.collect()]
+    assert [(r["record_type"], r["refers_to"], r["html"]) for r in got if r["page_id"] is None] == [("response", None, "nobody's" * 30)] * 2
+    got = [r for r in got if r["page_id"] is not None]
     assert sorted(r["page_id"] for r in got) == sorted(r[0] for r in rows)
     first = {}
     for i, _, html in sorted(rows, key=lambda r: r[0]):
@@ -36,6 +40,17 @@ def test_round_trip(spark, rows, force64):
             assert r["url"] == (url or "").replace("\r", "%0D").replace("\n", "%0A")
 
 
+def test_rows_that_repeat_a_page_id_are_each_by_their_payload(spark):
+    x, y, z = ("".join((c, "<p>some text</p>" * 10)) for c in "xyz")
+    rows = [(10, "u", x), (20, "u", z), (81, "u", x), (81, "u", y), (90, "u", x), (90, "u", z)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = O.read_records(O.index_ranges(O.write_packages(pages, scratch(spark)))).collect()
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert sorted((r.page_id, r.payload_digest, r.refers_to or 0, r.html or "") for r in got) == sorted(
+        [(10, digest(x), 0, x), (20, digest(z), 0, z), (81, digest(x), 10, ""), (81, digest(y), 0, y), (90, digest(x), 10, ""), (90, digest(z), 20, "")]
+    )
+
+
 def test_other_readers_agree(spark, rows):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
     path = O.write_packages(pages, scratch(spark), force64=True).first()["package"]
