@@ -79,6 +79,8 @@ def sequences(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGT
     def pack(batches):
         encode, end = tokenizer(sent.value).encode_ordinary, len(sent.value)
         first = TaskContext.get().partitionId() << PART_BITS
+        if first >= order.n:
+            raise ValueError("the documents have more partitions than they had; write them first")
         held, n, done = [], 0, 0
 
         def emit(k: int):
@@ -170,7 +172,9 @@ def read_shards(shards: DataFrame, from_slot: int = 0, length: int = LENGTH, blo
                         at += k
 
     wanted = shards.where(F.col("first_slot") + F.col("slots") > from_slot)
-    return wanted.repartition("shard").mapInArrow(read, "slot long, shard int, tokens binary")
+    # A file for each task; the rows are a few bytes, so that adaptive execution would put them all into one.
+    files = (wanted.agg(F.max("shard")).first()[0] or 0) + 1
+    return wanted.repartitionById(files, "shard").mapInArrow(read, "slot long, shard int, tokens binary")
 
 
 def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,9 @@ def stored(docs):
 @pytest.mark.parametrize("shards", [None, 1, 7])
 def test_round_trip(spark, stored, corpus, shards):
     files = O.write_shards(stored, scratch(spark), length=64, shards=shards)
-    rows = O.read_shards(files, length=64, block=1000).collect()
+    read = O.read_shards(files, length=64, block=1000)
+    assert read.rdd.getNumPartitions() == files.count() == (shards or files.count())
+    rows = read.collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows))) and {len(r.tokens) for r in rows} == {128}
     # Back in the order of the numbers, the tokens are the documents.
     s, places = O.sequences(stored, length=64)
