@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import defaultdict
 
+import pytest
+
 from merkleframe.llm import op7_line_dedup as O
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -30,6 +32,30 @@ def test_against_brute_force(docs, corpus):
     assert got.columns == [*docs.columns, "n_lines", "n_dropped", "keep_runs"]
 
 
+@pytest.mark.parametrize("hot", [1, 3, 40])
+def test_salted_hashes(docs, corpus, monkeypatch, hot):
+    monkeypatch.setattr(O, "HOT", hot)
+    got = O.dedup_lines(docs)
+    rows = [(r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in got.collect()]
+    assert sorted(rows, key=str) == brute(corpus)
+
+
+def test_ranges_are_streamed_in_order(docs):
+    from merkleframe.session import written
+
+    line = docs.selectExpr("doc_id", "doc_id AS version", "1 AS pos", "xxhash64(text) AS h1", "xxhash64(source) AS h2")
+    plans = []
+    held, O.written = O.written, lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df)
+    try:
+        O._repeats(written(line)).collect()
+    finally:
+        O.written = held
+    (plan,) = plans
+    # From the top: the window, its sort, and the range exchange; no other exchange of the lines.
+    assert re.search(r"Window .*Sort \[h1.*Exchange rangepartitioning\(h1", plan, re.S)
+    assert "hashpartitioning(h1" not in plan and plan.count("Window [") == 1
+
+
 def test_runs_are_the_kept_lines(docs, corpus):
     texts = {(r[0], r[1]) for r in corpus}
     for r in O.dedup_lines(docs.withColumn("was", docs["text"])).collect():
