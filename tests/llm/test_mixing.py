@@ -53,17 +53,22 @@ def test_reruns_agree(docs, got):
 
 
 def test_positions_follow_the_schedule(got):
-    by = defaultdict(list)
-    for r in got:
-        for p in r.positions:
-            by[r.source].append((p, r.size))
+    """By numerical integration: what a source's rate has demanded by a document's position is what lies before it."""
     for place, source in enumerate(["a", "b", "c", None]):
         tilt = O.TILTS[place % 3]
-        done, total = 0, sum(n for _, n in by[source])
-        for p, n in sorted(by[source]):
-            demand = (1 - tilt / 2) * p + tilt / 2 * p * p
-            assert 0 <= p <= 1 and abs(demand - done / max(total, 1)) < 0.3
-            done += n
+        rows = [r for r in got if r.source == source]
+        target = max(rows[0].target, 1)
+        for r in rows:
+            for j, p in enumerate(r.positions):
+                steps = 2000
+                rate = [1 - tilt / 2 + tilt * (k + 0.5) / steps for k in range(int(p * steps))]
+                demand = sum(rate) / steps + (p - len(rate) / steps) * (1 - tilt / 2 + tilt * p)
+                assert 0 <= p <= 1 and abs(demand * target - (j * r.source_size + r.before)) <= max(1.0, 1e-3 * target)
+        # What is before a position is what was taken before it: one document's difference at most.
+        taken, largest = 0, max(r.size for r in rows)
+        for p, size, before in sorted((p, r.size, j * r.source_size + r.before) for r in rows for j, p in enumerate(r.positions)):
+            assert abs(before - taken) <= largest
+            taken += size
 
 
 def test_curriculum(docs, crowded, got, unharmed):
@@ -73,6 +78,13 @@ def test_curriculum(docs, crowded, got, unharmed):
     assert sum(len((r.text or "").split()) for r in rows) == sum(r.copies * r.size for r in got)
 
 
+def test_training_order(spark):
+    out = O.op10_mixing(spark, "/root/testdata/sf0.001")
+    rows = [(r.position_1 is not None, r.position_1 or 0.0, r.doc_id) for part in out.rdd.glom().collect() for r in part]
+    assert rows == sorted(rows) and sum(r[0] for r in rows) > 100
+    assert "SQRT" in out._jdf.queryExecution().toString()
+
+
 def test_empty(spark, empty):
     assert O.assign(empty).count() == 0 and O.curriculum(empty).count() == 0
     blank = spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")
