@@ -20,32 +20,46 @@ def model(spark):
     return O.train(spark.createDataFrame(rows, "lang string, text string"))
 
 
-def forward(word, p, ranks):
+def forward(word, logs, ranks):
     """Log of the sum over all segmentations, position by position."""
-    data, out = word, 0.0
-    for a in range(0, 1):
-        alpha = [1.0] + [0.0] * len(data)
-        for t in range(1, len(data) + 1):
-            for n in range(1, min(O.PIECE, t) + 1):
-                if (r := ranks.get(data[t - n : t])) is not None:
-                    alpha[t] += alpha[t - n] * p[r]
-        out += math.log(alpha[-1])
-    return out
-
-
-def test_scores_sum_all_segmentations(model):
+    alpha = [0.0]
+    for t in range(1, len(word) + 1):
+        x = [alpha[t - n] + logs[r] for n in range(1, t + 1) if (r := ranks.get(word[t - n : t])) is not None]
+        alpha.append(max(x) + math.log(sum(math.exp(v - max(x)) for v in x)))
+    return alpha[-1]
+
+
+LONG = ["a" * 500, "漢字かな交じり文は空白を持たない" * 12, "https://example.com/" + "path-" * 40, " ".join(["=" * 300, "short"]), "Ã" * 100]
+
+
+@pytest.mark.parametrize("unit", [1, 7, 48, 4096])
+@pytest.mark.parametrize("chunk", [1, 300, 1 << 19])
+def test_scores_sum_all_segmentations(model, monkeypatch, unit, chunk):
+    """Of words shorter and longer than a unit, without a difference: pieces cross units."""
+    monkeypatch.setattr(O, "UNIT", unit)
+    monkeypatch.setattr(O, "CHUNK", chunk)
     ranks = load_vocabulary()
-    factor = {r: O.BYTE_FACTOR ** len(p) for p, r in ranks.items() if len(p) <= O.PIECE}
-    plain = np.array([model.probabilities[r] / factor[r] if r in factor else np.zeros(len(model.langs)) for r in range(len(ranks))])
-    text = b"the Stra\xc3\x9fe  was\nquand it rained xqzzy"
-    got = model.scores(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
-    want = [sum(forward(b" " + w, plain[:, k], ranks) for w in text.split()) for k in range(len(model.langs))]
-    assert np.allclose(got, want, rtol=1e-9)
+    texts = ["the Straße  was\nquand it rained xqzzy", *LONG, ""]
+    data = [t.encode() for t in texts]
+    got = model.scores(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]))
+    for row, d in zip(got, data, strict=True):
+        for k in range(len(model.langs)):
+            key = d, k
+            if key not in MEMO:
+                MEMO[key] = sum(forward(b" " + w, model.logs[:, k], ranks) for w in d.split())
+            assert math.isclose(row[k], MEMO[key], rel_tol=1e-9, abs_tol=1e-9)
 
 
-def test_long_words_are_units(model):
-    text = b"a" * 500
-    assert np.isfinite(model.scores(np.frombuffer(text, np.uint8), np.array([0, 500]))).all()
+MEMO: dict = {}
+
+
+def test_pieces_of_any_length_count():
+    ranks = load_vocabulary()
+    longest = max(ranks, key=len)
+    assert len(longest) > 64
+    model = O.Model(["x"], np.log(np.full((len(ranks), 1), 1e-3)), O._index(ranks))
+    buf = np.frombuffer(longest, np.uint8)
+    assert math.isclose(model.word_scores(buf, np.array([len(buf)]))[0, 0], forward(longest, model.logs[:, 0], ranks), rel_tol=1e-9)
 
 
 def test_predictions(spark, model):
