@@ -18,7 +18,7 @@ from merkleframe.session import table, written
 
 MIN_CHARS = 10
 #: Counters of the sketch, and how many lines, or four times the average, a hash's counter may have before the hash is salted.
-COUNTERS, HOT = 1 << 16, 50_000
+COUNTERS, HOT = 1 << 16, 1_000
 
 
 def _lines(text: Column) -> Column:
