@@ -12,10 +12,10 @@ from merkleframe.session import written
 
 
 def fixed_chunks(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, ordinal, chunk): texts in chunks of ``size`` characters; an empty text is one empty chunk."""
-    n = F.greatest(F.lit(1), F.ceil(F.char_length("text") / size).cast("int"))
-    at = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("ordinal"))
-    return at.select("doc_id", "ordinal", F.expr(f"substr(text, ordinal * {size} + 1, {size})").alias("chunk"))
+    """(doc_id, ordinal, chunk): texts in chunks of ``size`` characters, cut in one pass; an empty text is one empty chunk, a null one a null."""
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    chunks = F.when(F.col("text").isNull(), F.array(F.lit(None).cast("string"))).when(F.col("text") == "", F.array(F.lit(""))).otherwise(cut)
+    return docs.select("doc_id", F.posexplode(chunks).alias("ordinal", "chunk"))
 
 
 def manifest(chunks: DataFrame) -> DataFrame:
@@ -151,37 +151,41 @@ def merkle_proofs(chunks: DataFrame, leaf: int) -> DataFrame:
     return roots.join(path, "doc_id").select("doc_id", "root", "level", "sibling")
 
 
-def needle_hits(docs: DataFrame, needles: DataFrame, max_needles: int = 100_000) -> DataFrame:
-    """(item_id, hits): in how many documents each needle occurs. One pass over the documents for all needles.
+def needle_hits(docs: DataFrame, needles: DataFrame, block: int = 100_000) -> DataFrame:
+    """(needle, hits): in how many documents each of the distinct needles occurs whole.
 
-    The needles are broadcast, ``max_needles`` at most; matching is one automaton, so its cost doesn't grow with them.
+    Needles are broadcast, in blocks of about ``block`` by hash, and each block takes one pass over the documents; matching is
+    one automaton, so a pass's cost doesn't grow with the needles. Empty and null needles, and null texts, have no hits.
     """
-    rows = needles.limit(max_needles + 1).collect()
-    if len(rows) > max_needles:
-        raise ValueError(f"more than {max_needles} needles")
-    sent = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["needle"]) for r in rows])
+    needles = written(needles.select("needle").distinct())
+    blocks = -(-needles.count() // block) or 1
+    found = None
+    for i in range(blocks):
+        part = needles.where(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == i)
+        n = _needle_hits(docs, [r["needle"] for r in part.where("needle <> ''").collect()])
+        found = n if found is None else found.union(n)
+    return needles.join(found, "needle", "left").select("needle", F.coalesce("n", F.lit(0)).alias("hits"))
+
+
+def _needle_hits(docs: DataFrame, needles: list[str]) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(needles)
 
     def scan(batches):
         import ahocorasick
 
-        automaton, by_needle = ahocorasick.Automaton(), {}
-        for item, needle in sent.value:
-            by_needle.setdefault(needle, []).append(item)
-        for needle, items in by_needle.items():
-            if needle:
-                automaton.add_word(needle, items)
+        automaton = ahocorasick.Automaton()
+        for needle in sent.value:
+            automaton.add_word(needle, needle)
         automaton.make_automaton()
-        found: dict[int, int] = {}
+        found: dict[str, int] = {}
         for batch in batches:
-            for text in batch["text"].to_pylist():
-                hit = {tuple(items) for _, items in automaton.iter(text)} if text and len(automaton) else ()
-                for items in hit:
-                    for item in items:
-                        found[item] = found.get(item, 0) + 1
-        yield pa.RecordBatch.from_pydict({"item_id": pa.array(found.keys(), pa.int64()), "n": pa.array(found.values(), pa.int64())})
-
-    n = docs.select("text").mapInArrow(scan, "item_id long, n long").groupBy("item_id").agg(F.sum("n").alias("n"))
-    return needles.select("item_id").join(n, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("hits"))
+            for text in batch["text"]:
+                text = text.as_py()
+                for needle in {n for _, n in automaton.iter(text)} if text and len(automaton) else ():
+                    found[needle] = found.get(needle, 0) + 1
+        yield pa.RecordBatch.from_pydict({"needle": pa.array(found.keys(), pa.string()), "n": pa.array(found.values(), pa.int64())})
+
+    return docs.select("text").mapInArrow(scan, "needle string, n long").groupBy("needle").agg(F.sum("n").alias("n"))
 
 
 def sampled_index(chunks: DataFrame, keep: int) -> DataFrame:

@@ -12,9 +12,9 @@ P = Plans()
 query = P.query
 QUERIES, ORACLE = P.queries, P.oracle
 
-#: Observations: identity (corpus, cache, operation, implementation), run, status and two metrics.
+#: Observations: identity (corpus, cache, operation, implementation), run, status and metrics.
 OBS = """(SELECT l_returnflag AS corpus, l_linestatus AS cache, CASE l_linenumber % 3 WHEN 0 THEN 'read' WHEN 1 THEN 'write' ELSE 'sync' END AS operation, 'i' || (l_suppkey % 4) AS implementation,
-year(l_shipdate)::INT AS run, l_discount < 0.1 AS ok, l_extendedprice AS seconds, l_quantity AS bytes FROM lineitem)"""
+year(l_shipdate)::INT AS run, l_discount < 0.1 AS ok, l_extendedprice AS seconds, l_quantity AS bytes, l_linenumber AS steps FROM lineitem)"""
 ID = ["corpus", "cache", "operation", "implementation"]
 SQL_ID = ", ".join(ID)
 
@@ -23,7 +23,7 @@ def observations(spark, d):
     op = F.when(F.col("l_linenumber") % 3 == 0, "read").when(F.col("l_linenumber") % 3 == 1, "write").otherwise("sync")
     return table(spark, d, "lineitem").select(
         F.col("l_returnflag").alias("corpus"), F.col("l_linestatus").alias("cache"), op.alias("operation"), F.concat(F.lit("i"), F.col("l_suppkey") % 4).alias("implementation"),
-        F.year("l_shipdate").alias("run"), (F.col("l_discount") < 0.1).alias("ok"), F.col("l_extendedprice").alias("seconds"), F.col("l_quantity").alias("bytes"),
+        F.year("l_shipdate").alias("run"), (F.col("l_discount") < 0.1).alias("ok"), F.col("l_extendedprice").alias("seconds"), F.col("l_quantity").alias("bytes"), F.col("l_linenumber").alias("steps"),
     )
 
 
@@ -47,25 +47,36 @@ def bench_coalesce(spark, d):
     return O.coalesce_repeats(long_metrics(spark, d).where("ok"), ID)
 
 
-SQL_RUN = f"(SELECT {SQL_ID}, run, median(seconds) AS value, bool_and(seconds > 0 AND NOT (operation = 'sync' AND implementation = 'i3' AND run % 2 = 1)) AS ok FROM {OBS} GROUP BY {SQL_ID}, run)"
+def sql_run(metric: str) -> str:
+    return f"(SELECT {SQL_ID}, run, median({metric})::DOUBLE AS value, bool_and(seconds > 0 AND NOT (operation = 'sync' AND implementation = 'i3' AND run % 2 = 1)) AS ok FROM {OBS} GROUP BY {SQL_ID}, run)"
 
 
-def runs(spark, d):
+SQL_RUN = sql_run("seconds")
+
+
+def runs(spark, d, metric="seconds"):
     o = observations(spark, d)
     fine = (F.col("seconds") > 0) & ~((F.col("operation") == "sync") & (F.col("implementation") == "i3") & (F.col("run") % 2 == 1))
-    return o.groupBy(*ID, "run").agg(F.median("seconds").alias("value"), F.bool_and(fine).alias("ok"))
+    return o.groupBy(*ID, "run").agg(F.median(metric).alias("value"), F.bool_and(fine).alias("ok"))
+
+
+BASE, HEAD = 1996, 1997
 
 
-BASE, HEAD = 1993, 1994
+def _sql_outcomes(metric: str) -> str:
+    return f"""SELECT '{metric}' AS metric, outcome, count(*)::BIGINT AS n FROM (
+SELECT CASE WHEN h.run IS NULL THEN 'base only' WHEN b.run IS NULL THEN 'head only' WHEN NOT b.ok OR NOT h.ok THEN 'skipped' WHEN h.value = b.value THEN 'unchanged' WHEN h.value > b.value THEN 'increased' ELSE 'decreased' END AS outcome
+FROM (SELECT * FROM {sql_run(metric)} WHERE run = {BASE} AND operation <> 'read') b FULL JOIN (SELECT * FROM {sql_run(metric)} WHERE run = {HEAD} AND operation <> 'write') h USING ({SQL_ID})) GROUP BY outcome"""
 
 
-@query(f"""WITH r AS {SQL_RUN}, b AS (SELECT * FROM r WHERE run = {BASE} AND operation <> 'read'), h AS (SELECT * FROM r WHERE run = {HEAD} AND operation <> 'write'),
-j AS (SELECT {SQL_ID}, b.value AS base, h.value AS head, b.ok AS b_ok, h.ok AS h_ok, b.run IS NOT NULL AS has_b, h.run IS NOT NULL AS has_h FROM b FULL JOIN h USING ({SQL_ID}))
-SELECT CASE WHEN NOT has_h THEN 'base only' WHEN NOT has_b THEN 'head only' WHEN NOT b_ok OR NOT h_ok THEN 'skipped' WHEN head = base THEN 'unchanged' WHEN head > base THEN 'increased' ELSE 'decreased' END AS outcome, count(*)::BIGINT AS n FROM j GROUP BY 1""")
+@query(f"{_sql_outcomes('seconds')} UNION ALL {_sql_outcomes('steps')}")
 def bench_compare(spark, d):
-    r = runs(spark, d)
-    c = O.compare(r.where(f"run = {BASE} AND operation <> 'read'"), r.where(f"run = {HEAD} AND operation <> 'write'"), ID)
-    return c.groupBy("outcome").agg(F.count("*").alias("n"))
+    out = []
+    for metric in ("seconds", "steps"):
+        r = runs(spark, d, metric)
+        c = O.compare(r.where(f"run = {BASE} AND operation <> 'read'"), r.where(f"run = {HEAD} AND operation <> 'write'"), ID)
+        out.append(c.groupBy(F.lit(metric).alias("metric"), "outcome").agg(F.count("*").alias("n")))
+    return out[0].union(out[1])
 
 
 @query(f"""WITH r AS (SELECT * FROM {SQL_RUN} WHERE ok), first AS (SELECT {SQL_ID}, arg_min(value, run) AS baseline FROM r GROUP BY {SQL_ID})

@@ -16,20 +16,24 @@ QUERIES, ORACLE = P.queries, P.oracle
 
 REACH = f"""WITH RECURSIVE links AS ({SQL_LINKS}), objects AS ({SQL_OBJECTS}),
 reach(key) AS ({{seeds}} UNION SELECT l.dst FROM reach r JOIN links l ON l.src = r.key)"""
-EVEN_REGIONS = "SELECT 'region/' || r_regionkey FROM region WHERE r_regionkey % 2 = 0"
-SOME_CUSTOMERS = "SELECT 'customer/' || c_custkey FROM customer WHERE c_custkey % 50 = 0"
+ROOT_REGIONS = "SELECT 'region/' || r_regionkey FROM region WHERE r_name IN ('AFRICA', 'ASIA', 'MIDDLE EAST')"
+EXPORT_ROOTS = "SELECT 'customer/' || c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'"
 
 
-def _even_regions(spark, d) -> DataFrame:
-    return table(spark, d, "region").where("r_regionkey % 2 = 0").select(F.concat(F.lit("region/"), F.col("r_regionkey")).alias("key"))
+def _root_regions(spark, d) -> DataFrame:
+    return table(spark, d, "region").where("r_name IN ('AFRICA', 'ASIA', 'MIDDLE EAST')").select(F.concat(F.lit("region/"), F.col("r_regionkey")).alias("key"))
 
 
-def _some_customers(spark, d) -> DataFrame:
-    return table(spark, d, "customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("customer/"), F.col("c_custkey")).alias("key"))
+def _customers(spark, d, where: str = "true") -> DataFrame:
+    return table(spark, d, "customer").where(where).select(F.concat(F.lit("customer/"), F.col("c_custkey")).alias("key"))
 
 
-def _some_orders(spark, d) -> DataFrame:
-    return table(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.concat(F.lit("order/"), F.col("o_orderkey")).alias("key"))
+def _exported(spark, d) -> DataFrame:
+    return _customers(spark, d, "c_mktsegment = 'BUILDING'")
+
+
+def _orders(spark, d, where: str = "true") -> DataFrame:
+    return table(spark, d, "orders").where(where).select(F.concat(F.lit("order/"), F.col("o_orderkey")).alias("key"))
 
 
 def _kept_parts(objects: DataFrame) -> DataFrame:
@@ -38,65 +42,65 @@ def _kept_parts(objects: DataFrame) -> DataFrame:
     return objects.where((F.col("namespace") != "part") | (number % 97 != 0))
 
 
-@query(f"""{REACH.format(seeds=EVEN_REGIONS)}
+@query(f"""{REACH.format(seeds=ROOT_REGIONS)}
 SELECT namespace, count(r.key)::BIGINT AS reachable, (count(*) - count(r.key))::BIGINT AS unreachable FROM objects o LEFT JOIN reach r USING (key) GROUP BY namespace""")
 def reachable_closure_counts(spark, d):
-    live = graph.reach(_even_regions(spark, d), graph_links(spark, d)).select("key", F.lit(1).alias("live"))
+    live = graph.reach(_root_regions(spark, d), graph_links(spark, d)).select("key", F.lit(1).alias("live"))
     o = graph_objects(spark, d).join(live, "key", "left")
     return o.groupBy("namespace").agg(F.count("live").alias("reachable"), (F.count("*") - F.count("live")).alias("unreachable"))
 
 
 SQL_GAPS = f"""WITH RECURSIVE links AS ({SQL_LINKS}), objects AS (SELECT * FROM ({SQL_OBJECTS}) WHERE namespace <> 'part' OR split_part(key, '/', 2)::BIGINT % 97 <> 0),
 seeds AS ({{seeds}}), reach(root, key) AS (SELECT key, key FROM seeds UNION SELECT r.root, l.dst FROM reach r JOIN links l ON l.src = r.key)"""
-ORDERS10 = "SELECT 'order/' || o_orderkey AS key FROM orders WHERE o_orderkey % 10 = 0"
+EACH_ORDER = "SELECT 'order/' || o_orderkey AS key FROM orders"
 
 
-@query(f"""{SQL_GAPS.format(seeds=ORDERS10)}
+@query(f"""{SQL_GAPS.format(seeds=EACH_ORDER)}
 SELECT root, CASE WHEN bool_or(o.key IS NULL AND r.key = r.root) THEN 'Missing' WHEN bool_or(o.key IS NULL) THEN 'Incomplete' ELSE 'Complete' END AS status,
        CASE WHEN bool_or(o.key IS NULL) THEN NULL ELSE count(*)::BIGINT END AS objects
 FROM reach r LEFT JOIN objects o ON o.key = r.key GROUP BY root""")
 def closure_verify_status(spark, d):
-    return graph.closure_status(_some_orders(spark, d), graph_links(spark, d), _kept_parts(graph_objects(spark, d)))
+    return graph.closure_status(_orders(spark, d), graph_links(spark, d), _kept_parts(graph_objects(spark, d)))
 
 
-@query(f"""{SQL_GAPS.format(seeds=SOME_CUSTOMERS + " ").replace("SELECT 'customer/' || c_custkey FROM", "SELECT 'customer/' || c_custkey AS key FROM")},
+@query(f"""{SQL_GAPS.format(seeds="SELECT 'customer/' || c_custkey AS key FROM customer")},
 walk(root, from_key, key, path) AS (SELECT key, NULL::VARCHAR, key, [key] FROM seeds UNION ALL
   SELECT w.root, w.key, l.dst, list_append(w.path, l.dst) FROM walk w JOIN links l ON l.src = w.key JOIN objects o ON o.key = w.key),
 gap AS (SELECT root, from_key, key, row_number() OVER (PARTITION BY root ORDER BY len(path), path) AS r FROM walk w WHERE NOT EXISTS (SELECT 1 FROM objects o WHERE o.key = w.key))
 SELECT root, from_key, key AS missing_key FROM gap WHERE r = 1""")
 def closure_first_missing(spark, d):
-    return graph.first_missing(_some_customers(spark, d), graph_links(spark, d), _kept_parts(graph_objects(spark, d)))
+    return graph.first_missing(_customers(spark, d), graph_links(spark, d), _kept_parts(graph_objects(spark, d)))
 
 
 @query(f"""WITH RECURSIVE links AS ({SQL_LINKS}), objects AS ({SQL_OBJECTS}),
 settled AS (SELECT 'order/' || o_orderkey AS key FROM orders WHERE o_orderstatus = 'F'),
-reach(key) AS ({EVEN_REGIONS} UNION SELECT l.dst FROM reach r JOIN links l ON l.src = r.key WHERE r.key NOT IN (SELECT key FROM settled))
+reach(key) AS ({ROOT_REGIONS} UNION SELECT l.dst FROM reach r JOIN links l ON l.src = r.key WHERE r.key NOT IN (SELECT key FROM settled))
 SELECT namespace, count(*)::BIGINT AS visited FROM reach JOIN objects USING (key) GROUP BY namespace""")
 def incremental_closure(spark, d):
     settled = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("order/"), F.col("o_orderkey")).alias("key"))
-    seen = graph.reach(_even_regions(spark, d), graph_links(spark, d), stop=settled)
+    seen = graph.reach(_root_regions(spark, d), graph_links(spark, d), stop=settled)
     return seen.join(graph_objects(spark, d), "key").groupBy("namespace").agg(F.count("*").alias("visited"))
 
 
-@query(f"""{REACH.format(seeds=ORDERS10.replace(" AS key", ""))} SELECT key FROM reach""")
+@query(f"""{REACH.format(seeds=EACH_ORDER.replace(" AS key", ""))} SELECT key FROM reach""")
 def commit_closure_walk(spark, d):
-    return graph.reach(_some_orders(spark, d), graph_links(spark, d)).select("key")
+    return graph.reach(_orders(spark, d), graph_links(spark, d)).select("key")
 
 
-@query(f"""WITH x AS (SELECT 'order/' || o_orderkey AS root FROM orders WHERE o_orderkey % 10 = 0), links AS ({SQL_LINKS}), p AS (SELECT 'part/' || p_partkey AS key, sha256(p_name) AS payload, octet_length(encode(p_name))::BIGINT AS size FROM part)
+@query(f"""WITH x AS (SELECT 'order/' || o_orderkey AS root FROM orders), links AS ({SQL_LINKS}), p AS (SELECT 'part/' || p_partkey AS key, sha256(p_name) AS payload, octet_length(encode(p_name))::BIGINT AS size FROM part)
 SELECT DISTINCT root, payload, size FROM x JOIN links ON src = root JOIN p ON key = dst""")
 def closure_payloads(spark, d):
-    c = graph.reach_from_each(_some_orders(spark, d), graph_links(spark, d))
+    c = graph.reach_from_each(_orders(spark, d), graph_links(spark, d))
     p = table(spark, d, "part").select(F.concat(F.lit("part/"), F.col("p_partkey")).alias("key"), F.sha2("p_name", 256).alias("payload"), F.octet_length("p_name").cast("long").alias("size"))
     return c.join(p, "key").select("root", "payload", "size").distinct()
 
 
-@query(f"""{REACH.format(seeds="SELECT * FROM (" + SOME_CUSTOMERS + ") UNION SELECT 'order/' || o_orderkey FROM orders WHERE o_orderkey % 100 = 0")}
+@query(f"""{REACH.format(seeds="SELECT * FROM (" + EXPORT_ROOTS + ") UNION SELECT 'order/' || o_orderkey FROM orders WHERE o_orderstatus = 'P'")}
 SELECT namespace, count(*)::BIGINT AS objects FROM reach JOIN objects USING (key) GROUP BY namespace""")
 def closure_union(spark, d):
-    more = table(spark, d, "orders").where("o_orderkey % 100 = 0").select(F.concat(F.lit("order/"), F.col("o_orderkey")).alias("key"))
+    more = _orders(spark, d, "o_orderstatus = 'P'")
     links = graph_links(spark, d)
-    both = graph.reach(_some_customers(spark, d), links).select("key").union(graph.reach(more, links).select("key")).distinct()
+    both = graph.reach(_exported(spark, d), links).select("key").union(graph.reach(more, links).select("key")).distinct()
     return both.join(graph_objects(spark, d), "key").groupBy("namespace").agg(F.count("*").alias("objects"))
 
 
@@ -251,7 +255,7 @@ def retained_install_guards(spark, d):
     return out
 
 
-@query(f"""{SQL_GAPS.format(seeds=ORDERS10)} SELECT o_orderkey AS target, NOT EXISTS (SELECT 1 FROM reach r WHERE r.root = 'order/' || o_orderkey AND r.key NOT IN (SELECT key FROM objects)) AS complete FROM orders WHERE o_orderkey % 10 = 0""")
+@query(f"""{SQL_GAPS.format(seeds=EACH_ORDER)} SELECT o_orderkey AS target, NOT EXISTS (SELECT 1 FROM reach r WHERE r.root = 'order/' || o_orderkey AND r.key NOT IN (SELECT key FROM objects)) AS complete FROM orders""")
 def root_target_complete(spark, d):
     s = closure_verify_status(spark, d)
     return s.select(F.split("root", "/")[1].cast("long").alias("target"), (F.col("status") == "Complete").alias("complete"))
@@ -276,15 +280,12 @@ def prune_associations(spark, d):
     return b.select("identity").distinct().join(b.where("doc_id % 2 = 0"), "identity", "left_semi")
 
 
-EXPORT_ROOTS = "SELECT 'customer/' || c_custkey FROM customer WHERE c_custkey % 50 = 0"
-
-
 @query(f"""{REACH.format(seeds=EXPORT_ROOTS)},
 payload AS (SELECT key, sha256(coalesce(p_brand, key)) AS payload FROM reach LEFT JOIN (SELECT 'part/' || p_partkey AS key, p_brand FROM part) USING (key)),
 frames AS (SELECT 1 AS section, payload AS id FROM payload GROUP BY payload UNION ALL SELECT 2, key FROM payload)
 SELECT section, id, row_number() OVER (ORDER BY section, id)::BIGINT AS frame FROM frames""")
 def export_plan(spark, d):
-    live = written(graph.reach(_some_customers(spark, d), graph_links(spark, d)).select("key"))
+    live = written(graph.reach(_exported(spark, d), graph_links(spark, d)).select("key"))
     part = table(spark, d, "part").select(F.concat(F.lit("part/"), F.col("p_partkey")).alias("key"), "p_brand")
     p = live.join(part, "key", "left").select("key", F.sha2(F.coalesce("p_brand", "key"), 256).alias("payload"))
     frames = p.select(F.lit(1).alias("section"), F.col("payload").alias("id")).distinct().union(p.select(F.lit(2), "key"))
@@ -294,7 +295,7 @@ def export_plan(spark, d):
 @query(f"""{REACH.format(seeds=EXPORT_ROOTS)}, held AS (SELECT key FROM objects WHERE split_part(key, '/', 2)::BIGINT % 11 <> 0 AND (key IN (SELECT key FROM reach) OR key LIKE 'order/%99'))
 SELECT 'missing' AS side, key FROM reach WHERE key NOT IN (SELECT key FROM held) UNION ALL SELECT 'extra', key FROM held WHERE key NOT IN (SELECT key FROM reach)""")
 def archive_membership_check(spark, d):
-    live = written(graph.reach(_some_customers(spark, d), graph_links(spark, d)).select("key"))
+    live = written(graph.reach(_exported(spark, d), graph_links(spark, d)).select("key"))
     number = F.split("key", "/")[1].cast("long")
     o = graph_objects(spark, d).where(number % 11 != 0)
     held = o.join(live, "key", "left_semi").union(o.where(F.col("key").like("order/%99")).join(live, "key", "left_anti")).select("key")

@@ -70,9 +70,10 @@ def unordered_object_scan(spark, d):
     return table(spark, d, "orders").select("o_orderkey", "o_custkey")
 
 
-@query("SELECT n_name, n_regionkey, row_number() OVER (ORDER BY n_name) - 1 AS rn FROM nation")
+@query("SELECT 'order/' || o_orderkey AS key, o_custkey, row_number() OVER (ORDER BY 'order/' || o_orderkey) - 1 AS rn FROM orders")
 def ordered_object_scan(spark, d):
-    return numbered(table(spark, d, "nation").select("n_name", "n_regionkey"), ["n_name"], "rn")
+    o = table(spark, d, "orders").select(F.concat(F.lit("order/"), F.col("o_orderkey")).alias("key"), "o_custkey")
+    return numbered(o, ["key"], "rn")
 
 
 @query("SELECT r_name, r_regionkey FROM region WHERE r_name = 'ASIA'")
@@ -167,15 +168,13 @@ def pin_ledger_replay(spark, d):
     return M.replay(table(spark, d, "events").withColumnRenamed("user_id", "token"), "token", "event_id", "event_type", ENDS)
 
 
-SQL_CLAIM = "SELECT c.event_id AS claim, p.event_id AS pin FROM events c JOIN events p ON c.user_id = p.user_id AND p.event_id <> c.event_id WHERE c.event_id % 50 = 0 AND p.event_type = 'click' AND c.event_type = 'view'"
-
-
-@query(SQL_CLAIM)
+@query("SELECT c.event_id AS claim, count(*)::BIGINT AS conflicts, min(p.event_id) AS first_pin FROM events c JOIN events p ON c.user_id = p.user_id WHERE p.event_type = 'click' AND c.event_type = 'view' GROUP BY c.event_id")
 def pin_conflicts(spark, d):
+    """Each claim with the number of pins that it meets, and the first of them: a user's pins are summed up once, not paired."""
     e = table(spark, d, "events")
-    claims = e.where("event_id % 50 = 0 AND event_type = 'view'").select(F.col("event_id").alias("claim"), "user_id")
-    pins = e.where("event_type = 'click'").select(F.col("event_id").alias("pin"), "user_id")
-    return claims.join(pins, "user_id").where("claim <> pin").select("claim", "pin")
+    claims = e.where("event_type = 'view'").select(F.col("event_id").alias("claim"), "user_id")
+    pins = e.where("event_type = 'click'").groupBy("user_id").agg(F.count("event_id").alias("conflicts"), F.min("event_id").alias("first_pin"))
+    return claims.join(pins, "user_id").select("claim", "conflicts", "first_pin")
 
 
 @query("SELECT user_id AS token, event_type AS scope, count(*)::BIGINT AS resources, min(event_id) AS generation FROM events GROUP BY ALL")

@@ -356,12 +356,10 @@ def format_verify_counts(spark, d):
     return b.groupBy(ns.alias("namespace")).agg(F.count("*").alias("checked"), F.count(F.when(F.sha2("text", 256) != F.col("stored"), 1)).alias("invalid"))
 
 
-NEEDLE = 40
-
-
-@query(f"SELECT item_id, (SELECT count(*) FROM documents d WHERE contains(d.text, substr(b.text, 1, {NEEDLE})))::BIGINT AS hits FROM benchmark b")
+@query("""WITH n AS (SELECT DISTINCT unnest(string_split(text, '. ')) AS needle FROM benchmark)
+SELECT needle, (SELECT count(*) FROM documents d WHERE contains(d.text, needle))::BIGINT AS hits FROM n WHERE needle <> ''""")
 def needle_scan(spark, d):
-    needles = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, NEEDLE).alias("needle"))
+    needles = table(spark, d, "benchmark").select(F.explode(F.split("text", r"\. ")).alias("needle")).where("needle <> ''").distinct()
     return S.needle_hits(table(spark, d, "documents").select("doc_id", "text"), needles)
 
 

@@ -86,9 +86,9 @@ def tree_list(spark, d):
     return tree(spark, d).where("dir = 101").select("name", "child", "size").orderBy("name")
 
 
-@query(f"SELECT dir, child FROM {SQL_TREE} WHERE name = 3 AND dir <= 1000")
+@query(f"SELECT dir, child FROM {SQL_TREE} WHERE name = 3")
 def view_lookup(spark, d):
-    return tree(spark, d).where("name = 3 AND dir <= 1000").select("dir", "child")
+    return tree(spark, d).where("name = 3").select("dir", "child")
 
 
 @query(f"SELECT dir, count(*)::BIGINT AS entries, sum(size)::BIGINT AS bytes FROM {SQL_TREE} GROUP BY dir")

@@ -1,5 +1,7 @@
 """Every registered query that SQL can express, against its SQL in another engine."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -47,3 +49,26 @@ def test_entry(spark):
 def test_queries_without_sql(spark):
     for name in set(registry.queries()) - set(registry.oracle_sql()):
         assert registry.queries()[name](spark, SF).count() > 0
+
+
+def test_no_oracle_row_is_vacuous(con):
+    for name, sql in registry.oracle_sql().items():
+        assert con.execute(f"SELECT count(*) FROM ({sql})").fetchall()[0][0] > 0, name
+
+
+def test_needles_in_blocks(spark):
+    from merkleframe.operators.storage import needle_hits
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab c") for _ in range(rng.randint(0, 60))) for _ in range(60)] + [None, ""]
+    needles = [t[a : a + 12] for t in texts[:20] if t for a in (0, 3)] + ["never there", "", None, "ab", "ab"]
+    df = spark.createDataFrame([(t,) for t in needles], "needle string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {n: sum(n in t for t in texts if t) if n else 0 for n in set(needles) - {None}}
+    for block in (3, 1000):
+        assert {r.needle: r.hits for r in needle_hits(docs, df, block).collect() if r.needle is not None} == want
+
+
+def test_comparisons_have_every_outcome(con):
+    got = con.execute(registry.oracle_sql()["bench_compare"]).fetchall()
+    assert {r[1] for r in got} == {"base only", "head only", "skipped", "unchanged", "increased", "decreased"}
