@@ -55,3 +55,13 @@ def written(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table made by ``written``; nothing that is yet to run may read it."""
+    spark = df.sparkSession
+    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
+        if len(os.path.basename(folder)) != 32:
+            raise ValueError(f"{folder} isn't a written table")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -137,3 +137,14 @@ def test_retention_and_snapshots(spark, tmp_path):
     assert repo.vacuum() >= 2 and held.objects.count() == 8 and repo.snapshot().roots.count() == 0
     repo.release(held)
     assert repo.vacuum() == 1
+
+
+def test_discarded_tables_are_gone(spark):
+    from merkleframe.session import discard, written
+
+    df = written(spark.range(10))
+    files = df.inputFiles()
+    discard(df)
+    assert files and not any(spark._jvm.java.io.File(f.removeprefix("file://")).exists() for f in files)
+    with pytest.raises(ValueError, match="written table"):
+        discard(spark.read.parquet("/root/testdata/sf0.001/region.parquet"))
