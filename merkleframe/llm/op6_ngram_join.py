@@ -19,14 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from merkleframe.llm import arrays as A
 from merkleframe.llm.components import components
 from merkleframe.llm.text import BLANKS, LOWER, UPPER, fresh
-from merkleframe.session import table, written
+from merkleframe.session import discard, table, written
 
 SHINGLE = 4
 #: Similarity, in hundredths.
@@ -35,8 +35,11 @@ COUNTERS = 1 << 20
 BLOCK = 1 << 16
 #: Rows of one shingle that are dealt to one task at most, by the sketch.
 HOT = 4000
-#: Rows of a few numbers each that are broadcast at most; more are joined by a shuffle.
-MAX_BROADCAST = 2_000_000
+#: Rows of a few numbers each, some 100 bytes in memory, that are broadcast at most; more are joined by a shuffle.
+MAX_BROADCAST = 250_000
+#: Pairs of one document, and postings of one shingle and band, beyond which these are salted; or a 50,000th of all if that is
+#: more, so that 50,000 keys are salted at most.
+CENTRE, CROWD = 32, 500
 #: Bits for each wanted document in the filter of step 4, and the most there are.
 BLOOM_BITS, MAX_BLOOM = 16, 1 << 28
 
@@ -240,7 +243,26 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
                 ok[r] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
             yield batch.select(["u", "v"]).filter(pa.array(ok))
 
-    return b.join(_few(pairs), "v").join(a, "u").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
+    # The set of a document with many pairs goes to several tasks, each with some of the pairs.
+    parts = _crowded(pairs, ["u"], CENTRE)
+    split = pairs.join(F.broadcast(parts), "u", "left").select("u", "v", _salt("v"))
+    a = a.join(F.broadcast(parts), "u", "left").select("u", "a", _salts())
+    return b.join(_few(split), "v").join(a, ["u", "salt"]).select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
+
+
+def _crowded(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """(keys, parts): into how many parts the keys with many of the stored rows go; 50,000 keys at most."""
+    limit = max(least, rows.count() // 50_000)
+    k = F.count("*").alias("k")
+    return written(rows.groupBy(*keys).agg(k).where(F.col("k") > limit).select(*keys, F.ceil(F.col("k") / limit).cast("int").alias("parts")))
+
+
+def _salt(by: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(3), by), F.coalesce("parts", F.lit(1))).cast("int").alias("salt")
+
+
+def _salts() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt")
 
 
 def _places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -273,7 +295,7 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     ties = mine.join(same, "doc_id").select("u", F.col("cls").alias("v")).where("u <> v")
 
     members = classes.select("grp", "cls", F.col("cls").alias("comp"))
-    post = written(_shared(signed.where("doc_id IS NOT NULL"), percent))
+    post = every = written(_shared(signed.where("doc_id IS NOT NULL"), percent))
     star = post.where("grp <> x_grp").where(_may_link("", "x_", percent))
     star = star.groupBy(F.col("grp").alias("h"), F.col("x_grp").alias("g")).agg(F.count("*").alias("k"))
     star = star.groupBy("h").agg(F.max_by("g", F.struct("k", "g")).alias("g"))
@@ -291,9 +313,14 @@ def linked(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Data
     here = post.groupBy("token", "low").agg(F.count("*").alias("k"), F.max("high").alias("high"))
     here = here.groupBy("token").agg(F.max_by("low", F.struct("k", "low")).alias("most"), F.min("low").alias("least"), F.max("high").alias("top")).where("least < top").select("token", "most")
     post = written(post.join(_few(here), "token"))
+    discard(every)
     # What isn't in a shingle's largest component, against all that the shingle is in; sizes that may link are in the same band or the next.
     odd = post.where("low <> most OR high <> most").withColumn("near", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    cross = odd.alias("x").join(post.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.near") == F.col("y.band")))
+    # Postings of a crowded shingle and band are dealt to several tasks, each with all that they are compared with.
+    parts = F.broadcast(_crowded(post, ["token", "band"], CROWD))
+    y = post.join(parts, ["token", "band"], "left").select(*post.columns, _salt("grp"))
+    x = odd.join(parts.withColumnRenamed("band", "near"), ["token", "near"], "left").select(*odd.columns, _salts())
+    cross = x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.near") == F.col("y.band")) & (F.col("x.salt") == F.col("y.salt")))
     cross = cross.where("x.grp <> y.grp AND (x.low <> y.low OR x.high <> y.high OR x.low <> x.high)").where(_may_link("x.", "y.", percent))
     cross = cross.select(F.least("x.grp", "y.grp").alias("g"), F.greatest("x.grp", "y.grp").alias("h"))
     cross = cross.union(by_group.where("low < high").select(F.col("grp").alias("g"), F.col("grp").alias("h"))).distinct()

@@ -3,7 +3,7 @@ from collections import defaultdict
 
 import pytest
 
-from merkleframe.llm import op6_ngram_join as O
+from merkleframe.llm import components as C, op6_ngram_join as O
 from merkleframe.llm.components import components
 
 
@@ -57,8 +57,12 @@ def test_chain_of_neighbours(spark):
     assert len({c for _, _, c in brute(rows)}) == 1
 
 
-def test_hot_shingles_are_salted(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast", [0, 250_000])
+def test_hot_shingles_are_salted(spark, monkeypatch, broadcast):
     monkeypatch.setattr(O, "HOT", 3)
+    monkeypatch.setattr(O, "CENTRE", 1)
+    monkeypatch.setattr(O, "CROWD", 1)
+    monkeypatch.setattr(O, "MAX_BROADCAST", broadcast)
     rows = [(i, "the same few words open " + " ".join(f"{'x' * (i % 5)}{k}" for k in range(i % 7 + 20))) for i in range(60)]
     got = O.linked(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == brute(rows)
@@ -69,9 +73,11 @@ def test_empty(empty):
     assert O.one_of_each(empty).count() == 0
 
 
-def test_components(spark):
-    links = [(1, 2), (2, 3), (9, 8), (8, 7), (5, 5), (3, 1)] + [(i, i + 1) for i in range(20, 60)]
+@pytest.mark.parametrize("heavy", [0, 128])
+def test_components(spark, monkeypatch, heavy):
+    monkeypatch.setattr(C, "HEAVY", heavy)
+    links = [(1, 2), (2, 3), (9, 8), (8, 7), (5, 5), (3, 1)] + [(i, i + 1) for i in range(20, 60)] + [(1000, i) for i in range(100, 300)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
-    want = defaultdict(int, {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7} | {i: 20 for i in range(20, 61)})
+    want = defaultdict(int, {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7} | {i: 20 for i in range(20, 61)} | {i: 100 for i in [*range(100, 300), 1000]})
     assert got == dict(want)
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
