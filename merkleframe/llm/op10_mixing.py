@@ -105,15 +105,16 @@ def curriculum(docs: DataFrame) -> DataFrame:
 
     Rows of no copy go. Columns stay those of ``docs``.
     """
-    # Rows alike in id, source and size are told apart by their place, which the join's own shuffle provides.
-    size, key, row, positions, at = fresh(docs, "size", "key", "row", "positions", "at")
-    name = lambda n: F.to_json(F.struct("doc_id", "source", F.col(n).alias("size")))
-    a = assign(docs).withColumn(key, name("size"))
-    a = a.select(key, F.row_number().over(W.partitionBy(key).orderBy("before")).alias(row), F.col("positions").alias(positions)).where(F.size(positions) > 0)
-    d = docs.withColumn(size, F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), BLANKS), "")).cast("long"))
-    d = d.withColumn(key, name(size))
-    d = d.withColumn(row, F.row_number().over(W.partitionBy(key).orderBy("text")))
-    d = d.join(a, [key, row]).withColumn(at, F.explode(positions))
+    # Rows alike in id, source and size are told apart by their place. Texts and positions are dealt by key together, and
+    # both windows take that, so that the texts are shuffled once here; a join by key and place would deal them anew.
+    key, row, positions, before, at = fresh(docs, "key", "row", "positions", "before", "at")
+    name = lambda size: F.to_json(F.struct("doc_id", "source", size.alias("size")))
+    a = assign(docs).select(name(F.col("size")).alias(key), F.col("before").alias(before), F.col("positions").alias(positions))
+    size = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), BLANKS), "")).cast("long")
+    d = docs.withColumn(key, name(size)).unionByName(a, allowMissingColumns=True).repartition(key)
+    d = d.withColumn(row, F.row_number().over(W.partitionBy(key, F.col(before).isNull()).orderBy(before, "text")))
+    d = d.withColumn(positions, F.max(positions).over(W.partitionBy(key, row))).where(F.col(before).isNull())
+    d = d.withColumn(at, F.explode(positions))
     return d.repartitionByRange(at, "doc_id").sortWithinPartitions(at, "doc_id").select(*docs.columns)
 
 

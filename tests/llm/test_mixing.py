@@ -71,6 +71,26 @@ def test_positions_follow_the_schedule(got):
             taken += size
 
 
+def test_curriculum_deals_copies_by_place_and_shuffles_texts_once_by_key(spark):
+    # Rows that repeat an id, a source and a size, with texts of their own or alike, or without an id.
+    rows = [(i % 7 if i % 5 else None, " ".join(f"w{(i * j) % 3}" for j in range(1 + i % 4)), "ab"[i % 2]) for i in range(120)]
+    rows += [(1, "same text here", "a")] * 9 + [(None, None, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    places, alike = defaultdict(list), defaultdict(list)
+    for r in O.assign(df).collect():
+        places[r.doc_id, r.source, r.size].append((r.before, r.positions))
+    for i, text, source in rows:
+        alike[i, source, len((text or "").split())].append((text or "", i, text, source))
+    want = []
+    for k, own in alike.items():
+        for (_, positions), (_, *row) in zip(sorted(places[k]), sorted(own, key=lambda x: x[0]), strict=True):
+            want += [(p, tuple(row)) for p in positions]
+    out = O.curriculum(df)
+    assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(str(row) for _, row in want)
+    above = out._jdf.queryExecution().executedPlan().toString().split("Union")[0]
+    assert above.count("Exchange") == 2 and "Join" not in above  # by key, and by range
+
+
 def test_curriculum(docs, crowded, got, unharmed):
     out = unharmed(O.curriculum(crowded), crowded)
     rows = out.collect()
