@@ -1,13 +1,17 @@
-"""A repository on a shared file system: immutable snapshots of Parquet tables, and one pointer that names the current one.
+"""A repository on a shared file system: immutable snapshots of Parquet tables, and numbered pointers of which the last is current.
 
-A snapshot is a folder; publishing writes a new one and swaps the pointer. One writer at a time: a publication names the
-revision it was made on, and fails if that isn't current any more. Readers hold a snapshot by its path; collection leaves
-held ones alone.
+A snapshot is a folder; publishing writes a new one, and then the pointer of the next generation, which comes to be whole and
+only if it isn't there. So of several publications made on one revision the first wins, the others fail and leave nothing,
+and a crash leaves the repository as it was. Pointers, some 70 bytes each, are never deleted or changed. This needs a file
+system whose rename is atomic and replaces no file, as HDFS's is; local files are linked. Readers hold a snapshot by its path;
+collection leaves held ones alone.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import time
 import uuid
 from dataclasses import dataclass, field
 
@@ -105,8 +109,12 @@ class Repository:
         self._p = hadoop.Path
         self._fs = hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._holds: set[str] = set()
-        if not self._fs.exists(self._p(f"{self.path}/current")):
-            self._write({"objects": self._empty(OBJECTS), "roots": self._empty(ROOTS), "policy": self._empty(POLICY)}, 0)
+        self._fs.mkdirs(self._p(f"{self.path}/pointers"))
+        if self._last() is None:
+            try:
+                self._write({"objects": self._empty(OBJECTS), "roots": self._empty(ROOTS), "policy": self._empty(POLICY)}, 0)
+            except RevisionChanged:
+                pass  # another session set it up
 
     def _empty(self, schema: str) -> DataFrame:
         return self.spark.createDataFrame([], schema)
@@ -116,20 +124,34 @@ class Repository:
         path = f"{self.path}/snapshots/{revision}"
         for name, df in tables.items():
             df.write.parquet(f"{path}/{name}")
-        # The pointer is written aside and renamed over the old one.
-        side = self._p(f"{self.path}/current.{revision}")
+        # The pointer is written aside, and gets its name if no other publication has that yet.
+        side = self._p(f"{self.path}/pointers/.{revision}")
         out = self._fs.create(side, True)
         out.write(bytearray(json.dumps({"revision": revision, "generation": generation}).encode()))
         out.close()
-        target = self._p(f"{self.path}/current")
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
-        if not self._fs.rename(side, target):
-            raise OSError("the pointer couldn't be swapped")
+        if not self._named(side, self._p(f"{self.path}/pointers/{generation:020d}")):
+            self._fs.delete(side, False)
+            self._fs.delete(self._p(path), True)
+            raise RevisionChanged(f"generation {generation} was published meanwhile")
         return Snapshot(self.spark, path, revision, generation)
 
+    def _named(self, side, target) -> bool:
+        """Gives the pointer its name, unless a file of that name is there."""
+        if self._fs.getUri().getScheme() != "file":
+            return not self._fs.exists(target) and self._fs.rename(side, target)
+        try:
+            os.link(side.toUri().getPath(), target.toUri().getPath())
+        except FileExistsError:
+            return False
+        self._fs.delete(side, False)
+        return True
+
+    def _last(self) -> str | None:
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._p(f"{self.path}/pointers"))]
+        return max((n for n in names if n.isdigit()), default=None)
+
     def snapshot(self) -> Snapshot:
-        text = "".join(r.value for r in self.spark.read.text(f"{self.path}/current").collect())
+        text = "".join(r.value for r in self.spark.read.text(f"{self.path}/pointers/{self._last()}").collect())
         now = json.loads(text)
         return Snapshot(self.spark, f"{self.path}/snapshots/{now['revision']}", now["revision"], now["generation"])
 
@@ -218,12 +240,19 @@ class Repository:
         out = self._write({"objects": kept, "roots": base.roots, "policy": base.policy}, base.generation + 1)
         return out, before - out.objects.count()
 
-    def vacuum(self) -> int:
-        """Deletes snapshot folders that are neither current nor held; how many."""
+    def vacuum(self, abandoned: float = 7 * 24 * 3600) -> int:
+        """Deletes published snapshot folders that are neither current nor held; how many went.
+
+        A folder that no pointer names may be a publication under way: it goes once it is ``abandoned`` seconds old.
+        """
         keep = {self.snapshot().revision, *self._holds}
+        folders = {s.getPath().getName(): s for s in self._fs.listStatus(self._p(f"{self.path}/snapshots"))}
+        pointers = self.spark.read.schema("revision string").json(f"{self.path}/pointers")
+        published = {r.revision for r in pointers.where(F.col("revision").isin([*folders, ""])).collect()}  # as many as there are folders
         gone = 0
-        for status in self._fs.listStatus(self._p(f"{self.path}/snapshots")):
-            if status.getPath().getName() not in keep:
-                self._fs.delete(status.getPath(), True)
-                gone += 1
+        for name, status in folders.items():
+            if name in keep or name not in published and status.getModificationTime() / 1000 > time.time() - abandoned:
+                continue
+            self._fs.delete(status.getPath(), True)
+            gone += 1
         return gone

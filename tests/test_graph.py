@@ -148,3 +148,34 @@ def test_discarded_tables_are_gone(spark):
     assert files and not any(spark._jvm.java.io.File(f.removeprefix("file://")).exists() for f in files)
     with pytest.raises(ValueError, match="written table"):
         discard(spark.read.parquet("/root/testdata/sf0.001/region.parquet"))
+
+
+def test_publications_race_and_crash(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/repo"
+    one, two = Repository(spark, path), Repository(spark, path)
+    assert one.snapshot().revision == two.snapshot().revision and one.snapshot().generation == 0
+    # Both have seen the same revision, and only the first pointer counts.
+    tables = {"objects": one.snapshot().objects, "roots": one.snapshot().roots, "policy": one.snapshot().policy}
+    won = one._write(tables, 1)
+    with pytest.raises(RevisionChanged):
+        two._write(tables, 1)
+    assert two.snapshot().revision == won.revision and len(list((tmp_path / "repo/snapshots").iterdir())) == 2
+    # A crash at each step of a publication leaves the last one current, and the next goes through.
+    for step in ("create", "_named"):
+        repo = Repository(spark, path)
+        with monkeypatch.context() as m:
+
+            def crash(*_):
+                raise OSError(step)
+
+            if step == "_named":
+                m.setattr(repo, "_named", crash)
+            else:
+                m.setattr(repo, "_p", lambda x, p=repo._p: crash() if "/pointers/." in x else p(x))
+            with pytest.raises(OSError, match=step):
+                repo._write(tables, 2)
+        assert Repository(spark, path).snapshot().revision == won.revision
+    assert Repository(spark, path)._write(tables, 2).generation == 2
+    # What no pointer names stays while it may be under way.
+    assert one.vacuum() == 2 and one.vacuum() == 0 and one.vacuum(abandoned=-60) == 2
+    assert one.snapshot().objects.count() == 0
