@@ -39,15 +39,10 @@ def main(argv: list[str] | None = None) -> int:
 
     repo = Repository(spark, a.repository)
     if a.command == "import":
-        from pyspark.sql import functions as F
-
         importer = TarImport(a.source, a.root) if a.source.endswith((".tar", ".tar.gz", ".tgz")) else FilesystemImport(a.source, a.root)
         f = importer.to_frames(spark)
         s = repo.session()
-        none = F.array().cast("array<string>")
-        s.stage(f.blobs.select(F.col("blob_id").alias("key"), F.col("blob_id").alias("payload"), F.col("size").alias("payload_size"), none.alias("links")))
-        # Directories link to files and directories, not to symlinks.
-        s.stage(f.entries.groupBy(F.col("dir").alias("key")).agg(F.collect_set("child").alias("links"), F.count("*").alias("payload_size")).withColumn("payload", F.col("key")))
+        s.stage(f.objects())
         for r in f.roots.collect():
             s.set_root(r["name"], r["target"])
         repo.publish(s)

@@ -5,7 +5,10 @@ Each returns ``Frames``; nothing is stored until those are written or published.
 
 from __future__ import annotations
 
+import hashlib
 import io
+import os
+import stat
 import tarfile
 from dataclasses import dataclass
 from typing import Protocol
@@ -17,51 +20,87 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from merkleframe.operators import trees
 from merkleframe.session import written
 
+#: The directory without entries: the digest of their number, none.
+EMPTY = hashlib.sha256(b"0;").hexdigest()
+ENTRIES = "dir string, name string, child string, kind string, size long, executable boolean, target string"
+
 
 @dataclass(frozen=True)
 class Frames:
-    """blobs (blob_id, size), entries (dir, name, child, kind, size) with dir and child as digests, roots (name, target)."""
+    """blobs (blob_id, size), entries (ENTRIES) with dir and child as digests, roots (name, target).
+
+    An entry's kind is file, directory or symlink; a symlink has a target and no child.
+    """
 
     blobs: DataFrame
     entries: DataFrame
     roots: DataFrame
 
+    def objects(self) -> DataFrame:
+        """(key, payload, payload_size, links) of all blobs and directories; directories link to files and directories, not to symlinks."""
+        none = F.array().cast("array<string>")
+        blobs = self.blobs.select(F.col("blob_id").alias("key"), F.col("size").alias("payload_size"), none.alias("links"))
+        dirs = self.entries.groupBy(F.col("dir").alias("key")).agg(F.count("*").alias("payload_size"), F.collect_set("child").alias("links"))
+        bare = self.entries.where("kind = 'directory'").select("child").unionByName(self.roots.select(F.col("target").alias("child"))).where(F.col("child") == EMPTY)
+        bare = bare.distinct().select(F.col("child").alias("key"), F.lit(0).cast("long").alias("payload_size"), none.alias("links"))
+        return blobs.unionByName(dirs).unionByName(bare).withColumn("payload", F.col("key"))
+
 
 class Importer(Protocol):
     def to_frames(self, spark: SparkSession) -> Frames: ...
 
 
 def build_tree(files: DataFrame, roots: dict[str, str] | None, spark: SparkSession) -> Frames:
-    """Frames of files (root, path, blob_id, size): directories are made bottom up, one aggregation for each level.
+    """Frames of files (root, path, blob_id, size, and, if there, kind, executable, target): directories are made bottom up, one aggregation for each level.
 
+    ``kind`` is file, directory or symlink; directories need rows only to be there when empty, the top has the empty path.
     Equal directories are one: a directory's id is the digest of its entries. Paths have no empty or dot segments.
     """
-    f = files.select("root", F.split("path", "/").alias("parts"), "blob_id", F.col("size").cast("long").alias("size"))
-    now = written(f.select("root", "parts", F.col("blob_id").alias("child"), F.lit("file").alias("kind"), "size"))
+    extra = {"kind": F.lit("file"), "executable": F.lit(False), "target": F.lit(None).cast("string")}
+    f = files.select("root", "path", "blob_id", F.col("size").cast("long").alias("size"), *(F.coalesce(c, extra[c]).alias(c) if c in files.columns else extra[c].alias(c) for c in extra))
+    parts = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split("path", "/"))
+    f = written(f.withColumn("parts", parts))
+    bad = f.where("kind NOT IN ('file', 'directory', 'symlink') OR (kind = 'symlink' AND (target IS NULL OR octet_length(target) NOT BETWEEN 1 AND 4095 OR instr(target, char(0)) > 0))").first()
+    if bad is not None:
+        raise ValueError(f"{bad['path']}: a {bad['kind']} that can't be")
+    above = f.where("size(parts) > 0").select("root", "parts", F.explode(F.sequence(F.lit(0), F.size("parts") - 1)).alias("n"))
+    above = written(above.select("root", F.slice("parts", 1, F.col("n")).alias("parts")).distinct())
+    clash = f.where("kind <> 'directory'").join(above, ["root", "parts"], "left_semi").first()
+    if clash is not None:
+        raise ValueError(f"{clash['path']} is a {clash['kind']} and has something below it")
+    bare = f.where("kind = 'directory'").join(above, ["root", "parts"], "left_anti").select("root", "parts").distinct()
+    columns = ["root", "parts", "child", "kind", "size", "executable", "target"]
+    now = f.where("kind = 'file'").withColumn("child", F.col("blob_id")).select(columns)
+    now = now.unionByName(f.where("kind = 'symlink'").withColumn("child", F.lit(None).cast("string")).withColumn("size", F.lit(0).cast("long")).withColumn("executable", F.lit(None).cast("boolean")).select(columns))
+    directory = [F.lit("directory").alias("kind"), F.lit(None).cast("boolean").alias("executable"), F.lit(None).cast("string").alias("target")]
+    now = written(now.unionByName(bare.select("root", "parts", F.lit(EMPTY).alias("child"), F.lit(0).cast("long").alias("size"), *directory).select(columns)))
     depth = now.agg(F.max(F.size("parts"))).first()[0] or 0
     entries, waiting = None, now
     for level in range(depth, 0, -1):
         here = waiting.where(F.size("parts") == level)
-        e = here.select("root", F.slice("parts", 1, level - 1).alias("up"), F.element_at("parts", -1).alias("name"), "child", "kind", "size")
+        e = here.select("root", F.slice("parts", 1, level - 1).alias("up"), F.element_at("parts", -1).alias("name"), "child", "kind", "size", "executable", "target")
         key = F.to_json(F.struct("root", "up")).alias("dir")
-        per = e.select("root", "up", key, "name", "child", "kind", "size")
-        digest = trees.directory_digests(per.select("dir", "name", F.concat_ws(":", "kind", "child").alias("child"), "size")).withColumnRenamed("digest", "id")
+        per = written(e.select("root", "up", key, "name", "child", "kind", "size", "executable", "target"))
+        if (twice := trees.duplicate_names(per).first()) is not None:
+            raise ValueError(f"{twice['name']} is there twice in {twice['dir']}")
+        what = F.when(F.col("executable"), "executable").otherwise(F.col("kind"))
+        digest = trees.directory_digests(per.select("dir", "name", F.concat_ws(":", what, "child", "target").alias("child"), "size")).withColumnRenamed("digest", "id")
         # A directory counts all that is below it, itself left out.
         sums = per.groupBy("dir", "root", "up").agg(F.sum(F.when(F.col("kind") == "directory", F.col("size") + 1).otherwise(F.lit(1))).alias("below"))
         made = written(sums.join(digest, "dir"))
-        step = written(per.join(made.select("dir", "id"), "dir").select(F.col("id").alias("dir"), "name", "child", "kind", "size").distinct())
+        step = written(per.join(made.select("dir", "id"), "dir").select(F.col("id").alias("dir"), "name", "child", "kind", "size", "executable", "target").distinct())
         entries = step if entries is None else entries.unionByName(step)
-        up = made.select("root", F.col("up").alias("parts"), F.col("id").alias("child"), F.lit("directory").alias("kind"), F.col("below").alias("size"))
+        up = made.select("root", F.col("up").alias("parts"), F.col("id").alias("child"), F.col("below").alias("size"), *directory)
         waiting = written(waiting.where(F.size("parts") < level).unionByName(up))
-    blobs = files.groupBy("blob_id").agg(F.max("size").cast("long").alias("size"))
+    blobs = f.where("kind = 'file'").groupBy("blob_id").agg(F.max("size").alias("size"))
     tops = waiting.where(F.size("parts") == 0).select("root", "child")
     if roots is None:
         named = tops.select(F.lit(None).cast("string").alias("name"), F.col("child").alias("target"))
     else:
         named = tops.join(spark.createDataFrame(list(roots.items()), "root string, name string"), "root").select("name", F.col("child").alias("target"))
     if entries is None:
-        entries = spark.createDataFrame([], "dir string, name string, child string, kind string, size long")
-    return Frames(blobs, entries, named)
+        entries = spark.createDataFrame([], ENTRIES)
+    return Frames(blobs, entries.distinct(), named)
 
 
 @dataclass(frozen=True)
@@ -94,13 +133,67 @@ class MultiRootFilesystemImport:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, blob_id, size) of all files below a folder, by the binary file source: any store that Spark reads."""
+    """(path, blob_id, size, kind, executable, target) of all that is below a folder, the folder itself included.
+
+    A folder of a mounted file system, shared as Spark's own file: paths are, has symlinks, modes and empty folders; it is
+    listed level by level, folders dealt to tasks, and its files are read in pieces. Other stores have files only, read by the
+    binary file source.
+    """
     base = path.rstrip("/")
+    if base.startswith(("/", "file:")):
+        return _read_mounted(spark, "/" + base.removeprefix("file:").lstrip("/"))
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     tail = F.regexp_replace("path", r"^[a-z]+:/*", "/")
     root = base.split(":", 1)[1] if ":" in base.split("/", 1)[0] else base
     inner = tail.substr(F.lit(len("/" + root.strip("/")) + 2), F.length("path"))
-    return f.select(inner.alias("path"), F.sha2("content", 256).alias("blob_id"), F.col("length").alias("size"))
+    plain = [F.lit("file").alias("kind"), F.lit(False).alias("executable"), F.lit(None).cast("string").alias("target")]
+    return f.select(inner.alias("path"), F.sha2("content", 256).alias("blob_id"), F.col("length").alias("size"), *plain)
+
+
+def _read_mounted(spark: SparkSession, base: str) -> DataFrame:
+    import pyarrow as pa
+
+    listed = "path string, kind string, executable boolean, target string"
+
+    def listing(batches):
+        for batch in batches:
+            for folder in batch["path"].to_pylist():
+                rows = []
+                with os.scandir(os.path.join(base, folder)) as found:
+                    for e in found:
+                        name = f"{folder}/{e.name}" if folder else e.name
+                        if e.is_symlink():
+                            rows.append((name, "symlink", None, os.readlink(e.path)))
+                        elif e.is_dir():
+                            rows.append((name, "directory", None, None))
+                        elif e.is_file():
+                            rows.append((name, "file", bool(e.stat().st_mode & (stat.S_IXUSR | stat.S_IXGRP | stat.S_IXOTH)), None))
+                        else:
+                            raise ValueError(f"{name} is of a kind that isn't imported")
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_(), pa.string()))], ["path", "kind", "executable", "target"])
+
+    def digests(batches):
+        for batch in batches:
+            ids, sizes = [], []
+            for name in batch["path"].to_pylist():
+                with open(os.path.join(base, name), "rb") as f:
+                    ids.append(hashlib.file_digest(f, "sha256").hexdigest())
+                    sizes.append(f.tell())
+            yield pa.RecordBatch.from_arrays([batch["path"], pa.array(ids, pa.string()), pa.array(sizes, pa.int64()), batch["kind"], batch["executable"], batch["target"]], ["path", "blob_id", "size", "kind", "executable", "target"])
+
+    # Counts are explicit: a folder's name is a small row, and many of them would be put into one task.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    top = spark.createDataFrame([("", "directory", None, None)], listed)
+    everything, now = top, top.select("path")
+    while True:
+        step = written(now.repartition(tasks, "path").mapInArrow(listing, listed))
+        everything = everything.unionByName(step)
+        now = step.where("kind = 'directory'").select("path")
+        if now.isEmpty():
+            break
+    files = everything.where("kind = 'file'").repartition(tasks, "path").mapInArrow(digests, f"path string, blob_id string, size long, {listed.split(', ', 1)[1]}")
+    rest = everything.where("kind <> 'file'").select("path", F.lit(None).cast("string").alias("blob_id"), F.lit(0).cast("long").alias("size"), "kind", "executable", "target")
+    return files.unionByName(rest)
 
 
 @dataclass(frozen=True)
@@ -113,7 +206,7 @@ class BlobImport:
 
     def to_frames(self, spark: SparkSession) -> Frames:
         b = self.rows.select(F.col(self.name).cast("string").alias("name"), F.sha2(self.text, 256).alias("blob_id"), F.octet_length(self.text).cast("long").alias("size"))
-        none = spark.createDataFrame([], "dir string, name string, child string, kind string, size long")
+        none = spark.createDataFrame([], ENTRIES)
         return Frames(b.select("blob_id", "size").distinct(), none, b.select("name", F.col("blob_id").alias("target")))
 
 
@@ -182,7 +275,7 @@ class _TarReader(DataSourceReader):
 
 @dataclass(frozen=True)
 class TarImport:
-    """A tar archive's files under a root name; hard links are what they link to."""
+    """A tar archive's files, folders and symlinks under a root name; hard links are what they link to."""
 
     path: str
     root: str
@@ -193,18 +286,21 @@ class TarImport:
         last = m.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").first()
         if last is not None:
             raise TarError(f"{last['path']} is there twice")
-        files = m.where("kind = 'file'").select("path", F.sha2("content", 256).alias("blob_id"), "size")
-        links = m.where("kind IN ('file', 'hardlink')").select(F.col("path").alias("id"), F.when(F.col("kind") == "hardlink", F.col("target")).alias("link"))
+        own = m.where("kind IN ('file', 'symlink')").select("path", F.sha2("content", 256).alias("blob_id"), "size", "kind", "executable", F.col("target").alias("aim"))
+        links = m.where("kind IN ('file', 'hardlink', 'symlink')").select(F.col("path").alias("id"), F.when(F.col("kind") == "hardlink", F.col("target")).alias("link"))
         to = written(trees.resolve_hardlinks(links))
         if (bad := to.where("error IS NOT NULL").first()) is not None:
             raise TarError(f"{bad['id']}: {bad['error']} hard link")
-        f = to.select(F.col("id").alias("path"), "target").join(files.withColumnRenamed("path", "target"), "target").select("path", "blob_id", "size")
-        return build_tree(f.withColumn("root", F.lit("0")), {"0": self.root}, spark)
+        f = to.select(F.col("id").alias("path"), "target").join(own.withColumnRenamed("path", "target"), "target").select("path", "blob_id", "size", "kind", "executable", F.col("aim").alias("target"))
+        none = F.lit(None).cast("string")
+        f = f.unionByName(m.where("kind = 'directory'").select("path", none.alias("blob_id"), "size", "kind", "executable", none.alias("target")))
+        top = spark.createDataFrame([("", None, 0, "directory", None, None)], f.schema)
+        return build_tree(f.unionByName(top).withColumn("root", F.lit("0")), {"0": self.root}, spark)
 
 
 @dataclass(frozen=True)
 class NarImport:
-    """A NAR stream's files under a root name. Symlinks are no links, so they don't make entries here."""
+    """A NAR stream's tree under a root name. A lone file or symlink, which has no name there, is named "content"."""
 
     path: str
     root: str
@@ -216,11 +312,17 @@ class NarImport:
 
         def parse(batches):
             for batch in batches:
-                rows = [(p, c) for data in batch["content"].to_pylist() for p, kind, c in unpack(data) if kind in ("file", "executable")]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["path", "content"])
-
-        raw = spark.read.format("binaryFile").load(self.path).select("content").mapInArrow(parse, "path string, content binary")
-        f = raw.select(F.when(F.col("path") == "", "content").otherwise(F.col("path")).alias("path"), F.sha2("content", 256).alias("blob_id"), F.octet_length("content").alias("size"))
+                rows = [row for data in batch["content"].to_pylist() for row in unpack(data)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.binary()))], ["path", "node", "content"])
+
+        raw = spark.read.format("binaryFile").load(self.path).select("content").mapInArrow(parse, "path string, node string, content binary")
+        regular = F.col("node").isin("file", "executable")
+        f = raw.select(
+            F.when((F.col("path") == "") & (F.col("node") != "directory"), "content").otherwise(F.col("path")).alias("path"),
+            F.when(regular, F.sha2("content", 256)).alias("blob_id"), F.when(regular, F.octet_length("content")).otherwise(0).alias("size"),
+            F.when(regular, "file").otherwise(F.col("node")).alias("kind"), (F.col("node") == "executable").alias("executable"),
+            F.when(F.col("node") == "symlink", F.col("content").cast("string")).alias("target"),
+        )
         return build_tree(f.withColumn("root", F.lit("0")), {"0": self.root}, spark)
 
 
@@ -237,15 +339,13 @@ class BundleImport:
         if wrong is not None:
             raise BundleError(f"{wrong['side']}: {wrong['key']}")
         b = spark.read.parquet(self.path)
-        none = spark.createDataFrame([], "dir string, name string, child string, kind string, size long")
+        none = spark.createDataFrame([], ENTRIES)
         blobs = b.where(f"section = {PAYLOAD}").select(F.col("id").alias("blob_id"), F.octet_length("body").cast("long").alias("size"))
         return Frames(blobs, none, b.where(f"section = {ROOT}").select(F.col("id").alias("name"), F.col("body").cast("string").alias("target")))
 
 
 def detect(path: str) -> str:
     """The importer that a local path asks for, by its shape and first bytes."""
-    import os
-
     from merkleframe.sources.bundle import MAGIC
 
     if os.path.isdir(path):

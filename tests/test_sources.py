@@ -58,7 +58,7 @@ def test_tar(spark, tmp_path):
         add(t, "implicit/parent/b", b"other")
         add(t, "d/sym", kind=tarfile.SYMTYPE, link="../x")
     f = importers.TarImport(str(path), "t").to_frames(spark)
-    assert f.blobs.count() == 2 and {r["name"] for r in f.entries.collect()} == {"d", "a", "hard", "again", "implicit", "parent", "b"}
+    assert f.blobs.count() == 2 and {r["name"] for r in f.entries.collect()} == {"d", "a", "hard", "again", "implicit", "parent", "b", "sym"}
     for name, kind, link in (("../x", None, ""), ("/x", None, ""), ("l", tarfile.LNKTYPE, "nowhere")):
         with tarfile.open(tmp_path / "bad.tar", "w") as t:
             add(t, name, b"" if kind is None else None, kind, link)
@@ -66,6 +66,63 @@ def test_tar(spark, tmp_path):
             importers.TarImport(str(tmp_path / "bad.tar"), "t").to_frames(spark)
 
 
+def listing(frames):
+    """(path, kind, blob, executable, target) of a tree, walked from its only root."""
+    rows = frames.entries.collect()
+    out, todo = set(), [("", frames.roots.first()["target"])]
+    while todo:
+        path, key = todo.pop()
+        for r in rows:
+            if r["dir"] == key:
+                name = f"{path}/{r['name']}".lstrip("/")
+                out.add((name, r["kind"], r["child"] if r["kind"] == "file" else None, r["executable"], r["target"]))
+                if r["kind"] == "directory":
+                    todo.append((name, r["child"]))
+    return out
+
+
+def test_whole_trees_by_every_importer(spark, tmp_path):
+    base = tmp_path / "whole"
+    (base / "d" / "bare").mkdir(parents=True)
+    (base / "d" / "run").write_bytes(b"#!/bin/sh\n")
+    (base / "d" / "run").chmod(0o755)
+    (base / "d" / "plain").write_bytes(b"#!/bin/sh\n")
+    (base / "d" / "loop").symlink_to("../d")
+    (base / "gone").symlink_to("/nowhere at all")
+    with tarfile.open(tmp_path / "whole.tar", "w") as t:
+        t.add(base, arcname=".")
+    (tmp_path / "whole.nar").write_bytes(nar.pack({b"d": {b"bare": {}, b"run": (b"#!/bin/sh\n", True), b"plain": b"#!/bin/sh\n", b"loop": ("link", b"../d")}, b"gone": ("link", b"/nowhere at all")}))
+    digest = hashlib.sha256(b"#!/bin/sh\n").hexdigest()
+    want = {
+        ("d", "directory", None, None, None), ("d/bare", "directory", None, None, None), ("d/run", "file", digest, True, None), ("d/plain", "file", digest, False, None),
+        ("d/loop", "symlink", None, None, "../d"), ("gone", "symlink", None, None, "/nowhere at all"),
+    }
+    frames = [importers.FilesystemImport(str(base), "w"), importers.TarImport(str(tmp_path / "whole.tar"), "w"), importers.NarImport(str(tmp_path / "whole.nar"), "w")]
+    frames = [f.to_frames(spark) for f in frames]
+    for f in frames:
+        assert listing(f) == want and f.blobs.count() == 1
+    assert len({f.roots.first()["target"] for f in frames}) == 1
+    assert frames[0].objects().where("size(links) = 0 AND payload_size = 0").count() == 1
+    keys = {r["key"]: r["links"] for r in frames[0].objects().collect()}
+    assert len(keys) == 4 and all(x in keys for links in keys.values() for x in links)
+    # Each of these makes another tree.
+    ids = {frames[0].roots.first()["target"]}
+    for change in ((base / "d" / "run").chmod, (base / "d" / "bare").rmdir, (base / "gone").unlink):
+        change(*((0o644,) if change.__name__ == "chmod" else ()))
+        ids.add(importers.FilesystemImport(str(base), "w").to_frames(spark).roots.first()["target"])
+    assert len(ids) == 4
+
+
+def test_trees_that_are_bare_or_cannot_be(spark, tmp_path):
+    (tmp_path / "bare").mkdir()
+    f = importers.FilesystemImport(f"file://{tmp_path}/bare", "b").to_frames(spark)
+    assert f.roots.first()["target"] == importers.EMPTY and f.entries.count() == 0 and f.objects().count() == 1
+    schema = "root string, path string, blob_id string, size long, kind string, target string"
+    for rows in ([("0", "a", "x", 1, "file", None), ("0", "a/b", "y", 1, "file", None)], [("0", "a", None, 0, "symlink", "")], [("0", "a", "x", 1, "file", None), ("0", "a", "y", 1, "file", None)], [("0", "a", None, 0, "fifo", None)]):
+        with pytest.raises(ValueError):
+            importers.build_tree(spark.createDataFrame(rows, schema), None, spark)
+
+
 def test_git(spark, tmp_path):
     base = tmp_path / "g" / ".git"
 
