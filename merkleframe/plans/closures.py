@@ -315,10 +315,10 @@ def sync_reuse_verified(spark, d):
     return n("Exhaustive", graph.reach(seeds, links)).union(n("ReuseVerified", graph.reach(seeds, links, stop=settled)))
 
 
-@query(f"""SELECT 'order/' || o_orderkey AS key, o_orderstatus AS status, count(DISTINCT l_partkey)::BIGINT AS links FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey BETWEEN 100 AND 110 GROUP BY ALL""")
+@query(f"""SELECT 'order/' || o_orderkey AS key, o_orderstatus AS status, count(DISTINCT l_partkey)::BIGINT AS links FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL""")
 def object_show(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey BETWEEN 100 AND 110")
-    li = table(spark, d, "lineitem").where("l_orderkey BETWEEN 100 AND 110").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
+    o = table(spark, d, "orders")
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
     return o.join(li, "o_orderkey", "left").groupBy(F.concat(F.lit("order/"), F.col("o_orderkey")).alias("key"), F.col("o_orderstatus").alias("status")).agg(F.countDistinct("l_partkey").alias("links"))
 
 

@@ -244,9 +244,9 @@ def remove_roots_by_prefix(spark, d):
     return p.join(p.where(F.col("name").startswith("https://m.")), "name", "left_anti")
 
 
-@query("SELECT count(*)::BIGINT AS staged, count(DISTINCT sha256(text))::BIGINT AS payloads, count(DISTINCT doc_id)::BIGINT AS objects FROM documents WHERE doc_id % 2 = 1")
+@query("SELECT count(*)::BIGINT AS staged, count(DISTINCT sha256(text))::BIGINT AS payloads, count(DISTINCT doc_id)::BIGINT AS objects FROM documents")
 def stage_objects(spark, d):
-    s = table(spark, d, "documents").where("doc_id % 2 = 1").select("doc_id", F.sha2("text", 256).alias("payload"))
+    s = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("payload"))
     return s.agg(F.count("*").alias("staged"), F.countDistinct("payload").alias("payloads"), F.countDistinct("doc_id").alias("objects"))
 
 

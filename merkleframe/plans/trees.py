@@ -9,6 +9,7 @@ from merkleframe.operators import graph, trees as T
 from merkleframe.operators.order import numbered
 from merkleframe.plans.base import Plans
 from merkleframe.session import table
+from merkleframe.sources.importers import build_tree
 
 P = Plans()
 query = P.query
@@ -76,6 +77,32 @@ def directory_digest(spark, d):
     return T.directory_digests(tree(spark, d))
 
 
+def _level(kind: str) -> str:
+    child = f"'{kind}:' || child"
+    framed = f"length(name) || ':' || name || length({child}) || ':' || {child} || length(size::VARCHAR) || ':' || size"
+    return f"sha256(count(*) || ';' || string_agg({framed}, '' ORDER BY name))"
+
+
+#: Documents as files source/lang/doc_id: the entries of every directory, bottom up, and the root.
+SQL_MERKLE = f"""WITH f AS (SELECT coalesce(source, 'none') AS s, coalesce(lang, 'none') AS l, doc_id::VARCHAR AS name, sha256(coalesce(text, '')) AS child, strlen(coalesce(text, ''))::BIGINT AS size FROM documents),
+d1 AS (SELECT s, l AS name, {_level('file')} AS child, count(*)::BIGINT AS size FROM f GROUP BY s, l),
+d2 AS (SELECT s AS name, {_level('directory')} AS child, sum(size + 1)::BIGINT AS size FROM d1 GROUP BY s),
+d3 AS (SELECT {_level('directory')} AS child, sum(size + 1)::BIGINT AS size FROM d2)
+SELECT d1.child AS dir, f.name, f.child, 'file' AS kind, f.size FROM f JOIN d1 ON f.s = d1.s AND f.l = d1.name
+UNION SELECT d2.child, d1.name, d1.child, 'directory', d1.size FROM d1 JOIN d2 ON d1.s = d2.name
+UNION SELECT d3.child, d2.name, d2.child, 'directory', d2.size FROM d2, d3
+UNION ALL SELECT NULL, 'documents', child, 'root', NULL FROM d3"""
+
+
+@query(SQL_MERKLE)
+def tree_merkle_digests(spark, d):
+    docs, text = table(spark, d, "documents"), F.coalesce("text", F.lit(""))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.col("doc_id").cast("string"))
+    f = build_tree(docs.select(F.lit("0").alias("root"), path.alias("path"), F.sha2(text, 256).alias("blob_id"), F.octet_length(text).cast("long").alias("size")), {"0": "documents"}, spark)
+    root = f.roots.select(F.lit(None).cast("string").alias("dir"), "name", F.col("target").alias("child"), F.lit("root").alias("kind"), F.lit(None).cast("long").alias("size"))
+    return f.entries.select(root.columns).unionByName(root)
+
+
 @query("SELECT l_orderkey AS dir, l_linenumber AS name, count(*)::BIGINT AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def directory_duplicate_names(spark, d):
     return T.duplicate_names(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("dir"), F.col("l_linenumber").alias("name")))
