@@ -64,7 +64,7 @@ def pack_offsets(entries: DataFrame, pack: str, order: str) -> DataFrame:
 
 
 def greedy_packs(entries: DataFrame, target: int) -> DataFrame:
-    """(source, doc_id, size, pack): packs filled in order until they hold ``target`` bytes or more.
+    """Entries (source, doc_id, size, ..) with their pack: packs are filled in order until they hold ``target`` bytes or more.
 
     Sequential by its nature: each source's entries are streamed, sorted, with a counter for state; nothing is gathered.
     """
@@ -82,8 +82,26 @@ def greedy_packs(entries: DataFrame, target: int) -> DataFrame:
                 out.append(pack)
             yield batch.append_column("pack", pa.array(out, pa.int32()))
 
-    kind = dict(entries.dtypes)
-    return entries.select("source", "doc_id", "size").repartition("source").sortWithinPartitions("source", "doc_id").mapInArrow(fill, f"source {kind['source']}, doc_id {kind['doc_id']}, size {kind['size']}, pack int")
+    return entries.repartition("source").sortWithinPartitions("source", "doc_id").mapInArrow(fill, ", ".join(f"{c} {t}" for c, t in [*entries.dtypes, ("pack", "int")]))
+
+
+def seal_packs(packed: DataFrame) -> DataFrame:
+    """(source, pack, blobs, bytes, footer, pack_id) of packed entries (source, pack, doc_id, blob_id, size).
+
+    A footer has a line for each blob, in the order in which they lie: id, offset and size. A pack's id is its footer's
+    digest. A pack's lines are put together in one row, which the fill's target bounds.
+    """
+    e = pack_offsets(packed.withColumn("of", F.struct("source", "pack")), "of", "doc_id")
+    lines = F.array_sort(F.collect_list(F.struct("doc_id", "offset", F.concat_ws(":", "blob_id", "offset", "size").alias("line"))))
+    footer = F.array_join(F.transform(lines, lambda x: x["line"]), "\n")
+    return e.groupBy("source", "pack").agg(F.count("*").alias("blobs"), F.sum("size").alias("bytes"), footer.alias("footer")).withColumn("pack_id", F.sha2("footer", 256))
+
+
+def footer_index(sealed: DataFrame) -> DataFrame:
+    """(pack_id, blob_id, offset, size) read from the footers alone; one that isn't its id's is an error."""
+    whole = F.when(F.sha2("footer", 256) == F.col("pack_id"), F.col("footer")).otherwise(F.raise_error(F.concat(F.lit("a footer isn't that of "), "pack_id")))
+    part = F.split(F.col("line"), ":")
+    return sealed.select("pack_id", F.explode(F.split(whole, "\n")).alias("line")).select("pack_id", part[0].alias("blob_id"), part[1].cast("long").alias("offset"), part[2].cast("long").alias("size"))
 
 
 def shard_bits(entries: Column, entry_bytes: int, target: int) -> Column:

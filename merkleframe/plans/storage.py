@@ -199,6 +199,28 @@ def pack_fill(spark, d):
     return f.groupBy("source", "pack").agg(F.count("*").alias("blobs"), F.sum("size").alias("bytes"))
 
 
+SQL_SEALED = f"""WITH RECURSIVE s AS (SELECT source, doc_id, blob_id, size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM {B}),
+g(source, r, pack, filled) AS (SELECT source, r, 0, size FROM s WHERE r = 1 UNION ALL
+  SELECT s.source, s.r, CASE WHEN g.filled >= {TARGET} THEN g.pack + 1 ELSE g.pack END, CASE WHEN g.filled >= {TARGET} THEN s.size ELSE g.filled + s.size END FROM g JOIN s ON s.source = g.source AND s.r = g.r + 1),
+e AS (SELECT source, pack::INT AS pack, r, blob_id, (filled - size)::BIGINT AS lies, size::BIGINT AS size FROM g JOIN s USING (source, r)),
+p AS (SELECT source, pack, count(*)::BIGINT AS blobs, sum(size)::BIGINT AS bytes, sha256(string_agg(blob_id || ':' || lies || ':' || size, chr(10) ORDER BY r)) AS pack_id FROM e GROUP BY source, pack)
+"""
+
+
+def sealed(spark, d):
+    return S.seal_packs(S.greedy_packs(blobs(spark, d).select("source", "doc_id", "size", "blob_id"), TARGET))
+
+
+@query(f"{SQL_SEALED} SELECT source, pack, blobs, bytes, pack_id FROM p")
+def pack_seal(spark, d):
+    return sealed(spark, d).drop("footer")
+
+
+@query(f'{SQL_SEALED} SELECT pack_id, blob_id, lies AS "offset", size FROM e JOIN p USING (source, pack)')
+def pack_footer_index(spark, d):
+    return S.footer_index(sealed(spark, d))
+
+
 @query(f"SELECT source, CASE WHEN n * 40 <= {TARGET} * 2 THEN 1 ELSE ceil(log2(ceil(n * 40 / {TARGET}::DOUBLE)))::INT END AS bits FROM (SELECT source, count(*) AS n FROM ({SQL_CHUNKS}) GROUP BY source)")
 def shard_width(spark, d):
     n = lines(spark, d).groupBy("source").agg(F.count("*").alias("n"))

@@ -176,3 +176,16 @@ def test_nar_round_trip():
     for bad in (data[:-8], data + b"\0" * 8, data.replace(b"nix", b"nax")):
         with pytest.raises(nar.NarError):
             nar.unpack(bad)
+
+
+def test_sealed_packs(spark):
+    rows = [("a", i, f"b{i}", size) for i, size in enumerate((5, 0, 7, 3, 3, 9))] + [(None, 1, "n", 20), ("z", 3, "b0", 5)]
+    packed = storage.greedy_packs(spark.createDataFrame(rows, "source string, doc_id long, blob_id string, size long"), 10)
+    sealed = storage.seal_packs(packed)
+    got = {(r.source, r.pack): (r.footer, r.bytes, r.pack_id) for r in sealed.collect()}
+    want = {("a", 0): "b0:0:5\nb1:5:0\nb2:5:7", ("a", 1): "b3:0:3\nb4:3:3\nb5:6:9", (None, 0): "n:0:20", ("z", 0): "b0:0:5"}
+    assert {k: v[0] for k, v in got.items()} == want and got["a", 1][1] == 15
+    assert all(v[2] == hashlib.sha256(v[0].encode()).hexdigest() for v in got.values())
+    assert sorted((r.blob_id, r.offset, r.size) for r in storage.footer_index(sealed).collect()) == sorted((x.split(":")[0], *map(int, x.split(":")[1:])) for v in want.values() for x in v.split("\n"))
+    with pytest.raises(Exception, match="isn't that of"):
+        storage.footer_index(sealed.withColumn("footer", F.concat("footer", F.lit(" ")))).collect()
