@@ -8,7 +8,7 @@ from merkleframe.plans import registry
 
 SF = "/root/testdata/sf0.001"
 #: These cut, compress, match or fill in Python, by their nature.
-IN_PYTHON = {"fastcdc_chunks", "zstd_chunk_sizes", "needle_scan", "pack_fill"}
+IN_PYTHON = {"fastcdc_chunks", "zstd_chunk_sizes", "needle_scan", "pack_fill", "pack_seal", "pack_footer_index"}
 #: These number or add up within a page of a stated limit, or one row for each partition.
 ONE_TASK_WINDOWS = {"page_by_bytes", "frozen_set_page", "facts_page", "prefix_scan_page"}
 

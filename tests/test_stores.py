@@ -82,7 +82,7 @@ def test_state_log(spark, tmp_path):
 def test_nar_and_bundle_imports(spark, tmp_path):
     (tmp_path / "t.nar").write_bytes(nar.pack({b"d": {b"a": b"x", b"b": (b"y", True)}, b"l": ("link", b"d/a")}))
     f = importers.NarImport(str(tmp_path / "t.nar"), "n").to_frames(spark)
-    assert {(r["name"], r["kind"]) for r in f.entries.collect()} == {("d", "directory"), ("a", "file"), ("b", "file")} and f.roots.first()["name"] == "n"
+    assert {(r["name"], r["kind"]) for r in f.entries.collect()} == {("d", "directory"), ("a", "file"), ("b", "file"), ("l", "symlink")} and f.roots.first()["name"] == "n"
     plan = spark.createDataFrame([(1, "r", b"k1"), (2, "p1", b"x"), (3, "k1", b"p1")], "section int, id string, body binary")
     bundle.export(plan, f"file://{tmp_path}/good")
     f = importers.BundleImport(f"file://{tmp_path}/good").to_frames(spark)
