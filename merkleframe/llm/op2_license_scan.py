@@ -4,7 +4,7 @@ Native. The units of a text are its lines and paragraphs that speak of a licence
 of a licence file. Each different unit is scored once, however many texts have it: units and templates are sparse TF-IDF vectors
 of all their words, with document frequencies over all documents, and their cosine is a join on terms. A file without a licence
 of its own has that of the nearest directory above it that holds a licence file: directories, not files, are joined with their
-ancestors' paths.
+ancestors' paths. Licence files are told by their names, and where names are numbers, by their whole texts.
 """
 
 from __future__ import annotations
@@ -113,13 +113,13 @@ def _words(text: Column) -> Column:
     return split_words(ascii_lower(text), SEPARATORS)
 
 
-def units(text: Column, whole: Column) -> Column:
-    """The different lines, paragraphs and blocks of a text that have a cue, and all of it if ``whole``."""
+def units(text: Column, whole: Column, by_text: bool = False) -> Column:
+    """The different lines, paragraphs and blocks of a text that have a cue, and all of it if ``whole``, or ``by_text`` and it has a cue."""
     text = F.translate(F.coalesce(text, F.lit("")), "\x01", " ")
     told = lambda x: x.rlike(CUE)
     paragraphs = F.split(text, GAP)
     blocks = F.split(F.array_join(F.transform(paragraphs, lambda x: F.when(told(x), x).otherwise("\x01")), "\n"), "\x01")
-    all_of_it = F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>"))
+    all_of_it = F.array(text) if by_text else F.when(whole, F.array(text)).otherwise(F.array().cast("array<string>"))
     return F.when(told(text), F.array_distinct(F.concat(F.filter(F.split(text, "\n"), told), F.filter(paragraphs, told), F.filter(blocks, told), all_of_it))).when(whole, F.array(text))
 
 
@@ -140,11 +140,16 @@ def _facts(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     return rows.join(hot, key).unionByName(rest)
 
 
-def matches(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, licence, score) of each text of ``docs`` (doc_id, version, text, whole) that has a unit like a template: the best one, ties to the first name."""
+def matches(docs: DataFrame, by_text: bool = False) -> DataFrame:
+    """(doc_id, version, licence, score, wholly) of each text of ``docs`` (doc_id, version, text, whole) that has a unit like a template: the best one, ties to the first name.
+
+    ``wholly``: a unit that is all of the text is like a template.
+    """
     spark = docs.sparkSession
     n = F.lit(docs.count())
-    u = written(docs.select("doc_id", "version", F.explode(units(F.col("text"), F.col("whole"))).alias("unit")).withColumn("unit_id", F.sha2("unit", 256)))
+    u = docs.select("doc_id", "version", "text", F.explode(units(F.col("text"), F.col("whole"), by_text)).alias("unit"))
+    all_of_it = F.octet_length("unit") == F.octet_length(F.coalesce("text", F.lit("")))  # any other unit is shorter
+    u = written(u.select("doc_id", "version", "unit", F.sha2("unit", 256).alias("unit_id"), all_of_it.alias("all_of_it")))
     one = u.groupBy("unit_id", "unit").agg(F.count("*").alias("uses"))
     term = written(one.select("unit_id", F.explode(_words(F.col("unit"))).alias("term")).groupBy("unit_id", "term").agg(F.count("*").alias("tf")))
     t = spark.range(1).select(F.posexplode(F.array(*(F.struct(F.lit(a).alias("licence"), F.lit(b).alias("text"), F.lit(c).alias("least")) for a, b, c in templates()))).alias("k", "t"))
@@ -166,45 +171,56 @@ def matches(docs: DataFrame) -> DataFrame:
     scored = scored.select("unit_id", top.alias("top")).where("top IS NOT NULL").select("unit_id", "top.low", "top.licence")
     uses = u.groupBy("unit_id").agg(F.count("*").alias("uses"))
     scored = written(scored.join(uses, "unit_id"))
-    m = _facts(u.select("doc_id", "version", "unit_id"), scored, "unit_id")
-    return m.groupBy("doc_id", "version").agg(F.min(F.struct("low", "licence")).alias("m")).select("doc_id", "version", F.col("m.licence").alias("licence"), (-F.col("m.low")).alias("score"))
+    m = _facts(u.select("doc_id", "version", "unit_id", "all_of_it"), scored, "unit_id")
+    m = m.groupBy("doc_id", "version").agg(F.min(F.struct("low", "licence")).alias("m"), F.max("all_of_it").alias("wholly"))
+    return m.select("doc_id", "version", F.col("m.licence").alias("licence"), (-F.col("m.low")).alias("score"), "wholly")
 
 
 def inherited(files: DataFrame) -> DataFrame:
-    """(dir, inherited) for each directory of ``files`` (path, licence): the licence of the nearest directory, itself first, that holds a licence file."""
-    f = files.select(F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), F.regexp_extract("path", "[^/]*$", 0).alias("name"), "licence", "path")
-    given = f.where(F.col("licence").isNotNull() & F.col("name").rlike(FILE)).groupBy("dir").agg(F.min(F.struct("name", "licence")).alias("g")).select(F.col("dir").alias("above"), F.col("g.licence").alias("given"))
+    """(dir, inherited) for each directory of ``files`` (path, licence): the licence of the nearest directory, itself first, that holds a licence file.
+
+    Licence files are those so named, and then those that a column ``wholly`` tells, if there is one; the first name of a directory gives.
+    """
+    told = F.coalesce("wholly", F.lit(False)) if "wholly" in files.columns else F.lit(False)
+    f = files.select(F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), F.regexp_extract("path", "[^/]*$", 0).alias("name"), "licence", "path", told.alias("told"))
+    f = f.withColumn("other", ~F.col("name").rlike(FILE))
+    given = f.where(F.col("licence").isNotNull() & (~F.col("other") | F.col("told"))).groupBy("dir").agg(F.min(F.struct("other", "name", "licence")).alias("g"))
+    given = given.select(F.col("dir").alias("above"), F.col("g.licence").alias("given"))
     d = f.where("path IS NOT NULL").select("dir").distinct().withColumn("parts", F.split("dir", "/"))
     d = d.withColumn("depth", F.explode(F.sequence(F.lit(0), F.size("parts")))).withColumn("above", F.array_join(F.slice("parts", 1, F.col("depth")), "/"))
     return d.join(given, "above").groupBy("dir").agg(F.max_by("given", "depth").alias("inherited"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, by_text: bool = False) -> DataFrame:
     """(doc_id, path, own, score, inherited, licence) of every row of ``docs`` (doc_id, text, path).
 
     ``own``: the licence of its best unit, of its template's least cosine or more; ``licence``: own, or else inherited. A null
     text has no lines and a null path no directory. Rows that repeat a doc_id are matched each by its text. Empty in, empty out.
+
+    ``by_text`` is for tables whose names tell nothing: a text that as a whole is like a template is a licence file too. One without
+    a doc_id, or at the root, where nothing is known of its place, gives its licence to no other.
     """
     whole = F.coalesce(F.regexp_extract("path", "[^/]*$", 0).rlike(FILE), F.lit(False))
     d = docs.select("doc_id", "path", "text", whole.alias("whole")).withColumn("version", F.xxhash64(F.coalesce("text", F.lit("")), "whole"))
-    m = written(matches(d)).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("licence").alias("own"), "score")
+    m = written(matches(d, by_text)).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("licence").alias("own"), "score", "wholly")
     out = d.select("doc_id", "path", "version").join(m, d["doc_id"].eqNullSafe(m["_id"]) & (d["version"] == m["_version"]), "left")
-    out = out.select("doc_id", "path", "own", "score", F.regexp_replace("path", "/?[^/]*$", "").alias("dir"))
-    up = written(inherited(out.select("path", F.col("own").alias("licence"))))
+    out = out.select("doc_id", "path", "own", "score", F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), "wholly")
+    wholly = [(F.col("wholly") & F.col("doc_id").isNotNull() & (F.col("dir") != "")).alias("wholly")] if by_text else []
+    up = written(inherited(out.select("path", F.col("own").alias("licence"), *wholly)))
     return out.join(up, "dir", "left").select("doc_id", "path", "own", "score", "inherited", F.coalesce("own", "inherited").alias("licence"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
-    return scan(docs.select("doc_id", "text", path.alias("path")))
+    return scan(docs.select("doc_id", "text", path.alias("path")), by_text=True)
 
 
 QUERIES = {"op2_license_scan": op2_license_scan}
 
 _SQL_WORDS = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 _VALUES = ", ".join("({}, '{}', '{}', {})".format(k, name, text.replace("'", "''"), least) for k, (name, text, least) in enumerate(templates()))
-#: No document here is named as a licence file is, so nothing is inherited.
+#: No document here is named as a licence file is: those that are wholly like a template are such files.
 ORACLE = {
     "op2_license_scan": f"""
 WITH t AS (SELECT * FROM (VALUES {_VALUES}) v(k, licence, text, least)),
@@ -213,7 +229,7 @@ n AS (SELECT count(*) AS n FROM documents),
 clean AS (SELECT doc_id, replace(text, chr(1), ' ') AS text FROM documents WHERE regexp_matches(text, '{CUE}')),
 parts AS (SELECT doc_id, string_split(text, chr(10)) AS lines, string_split_regex(text, '{GAP}') AS paragraphs FROM clean),
 blocks AS (SELECT doc_id, string_split(array_to_string(list_transform(paragraphs, lambda p: CASE WHEN regexp_matches(p, '{CUE}') THEN p ELSE chr(1) END), chr(10)), chr(1)) AS blocks FROM parts),
-unit AS (SELECT DISTINCT doc_id, text FROM (SELECT doc_id, unnest(lines) AS text FROM parts UNION ALL SELECT doc_id, unnest(paragraphs) FROM parts UNION ALL SELECT doc_id, unnest(blocks) FROM blocks) WHERE regexp_matches(text, '{CUE}')),
+unit AS (SELECT DISTINCT doc_id, text FROM (SELECT doc_id, unnest(lines) AS text FROM parts UNION ALL SELECT doc_id, unnest(paragraphs) FROM parts UNION ALL SELECT doc_id, unnest(blocks) FROM blocks UNION ALL SELECT doc_id, text FROM clean) WHERE regexp_matches(text, '{CUE}')),
 ut AS (SELECT unit, term, count(*) AS tf FROM (SELECT text AS unit, unnest({_SQL_WORDS}) AS term FROM (SELECT DISTINCT text FROM unit)) GROUP BY ALL),
 df AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_SQL_WORDS}) AS term FROM documents) WHERE term IN (SELECT term FROM tt UNION SELECT term FROM ut) GROUP BY term),
 tv AS (SELECT k, term, tf * (ln((n + 1)::DOUBLE / (coalesce(df, 0) + 1)) + 1) AS v FROM tt LEFT JOIN df USING (term), n),
@@ -222,8 +238,12 @@ uv AS (SELECT unit, term, tf * (ln((n + 1)::DOUBLE / (coalesce(df, 0) + 1)) + 1)
 un AS (SELECT unit, sqrt(sum(w * w)) AS w_norm FROM uv GROUP BY unit),
 dots AS (SELECT unit, k, round(sum(w * v / v_norm), 9) AS dot FROM uv JOIN tv USING (term) JOIN tn USING (k) GROUP BY unit, k),
 cosines AS (SELECT unit, licence, round(dot / w_norm, 6) AS score, least FROM dots JOIN un USING (unit) JOIN t USING (k)),
-best AS (SELECT doc_id, licence, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence) AS r FROM unit JOIN cosines ON text = unit WHERE score >= least)
-SELECT d.doc_id, concat_ws('/', d.source, d.lang, d.doc_id::VARCHAR) AS path, b.licence AS own, b.score, NULL::VARCHAR AS inherited, b.licence AS licence
-FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id AND b.r = 1
+best AS (SELECT doc_id, licence, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence) AS r FROM unit JOIN cosines ON text = unit WHERE score >= least),
+wholly AS (SELECT DISTINCT doc_id FROM clean JOIN cosines ON text = unit WHERE score >= least),
+files AS (SELECT d.doc_id, concat_ws('/', d.source, d.lang, d.doc_id::VARCHAR) AS path, b.licence AS own, b.score, w.doc_id IS NOT NULL AS holds FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id AND b.r = 1 LEFT JOIN wholly w ON w.doc_id = d.doc_id),
+places AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS dir, regexp_extract(path, '[^/]*$') AS name FROM files),
+given AS (SELECT dir AS above, min(struct_pack(name := name, own := own)).own AS given FROM places WHERE holds AND dir <> '' GROUP BY dir),
+up AS (SELECT dir, arg_max(given, length(above)) AS inherited FROM (SELECT DISTINCT dir FROM places) JOIN given ON dir = above OR starts_with(dir, above || '/') GROUP BY dir)
+SELECT doc_id, path, own, score, inherited, coalesce(own, inherited) AS licence FROM places LEFT JOIN up USING (dir)
 """
 }

@@ -139,3 +139,38 @@ def test_clashing_names(spark, crowded):
     for name in ("unit", "unit_id", "whole", "term", "uses", "df", "idf", "k", "m"):
         crowded = crowded.withColumn(name, F.lit("x"))
     assert O.scan(crowded.withColumn("path", F.lit("x"))).count() == crowded.count()
+
+
+def test_licence_files_by_text(spark):
+    mit, apache, gpl, bsd = (dict(O.TEMPLATES)[x] for x in ("MIT", "Apache-2.0", "GPL-3.0", "BSD-3-Clause"))
+    rows = [
+        (1, f"Some words.\n{mit}", "a/en/1"), (2, "nothing", "a/en/2"), (3, "words " * 40 + f"\n{apache}", "a/en/3"), (4, None, "a/fr/4"), (5, gpl, "a/5"), (6, "nothing", "a/6"), (7, "nothing", "b/en/7"),
+        (8, "words " * 40 + f"\n{apache}", "b/en/8"), (9, apache, "9"), (None, mit, "b/en"), (11, "nothing", "b/11"), (12, apache, "c/en/12"), (13, gpl, "c/en/13"), (14, "nothing", "c/en/14"),
+        (15, full("BSD-3-Clause").replace("\n", "\n\n") + "\n\nAdded at the end.", "d/en/15"), (16, "nothing", "d/en/16"), (17, apache, "e/17"), (18, bsd, "e/LICENSE"), (19, "nothing", "e/en/19"), (20, "nothing", None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, path string")
+    got = {r.doc_id: (r.own, r.inherited, r.licence) for r in O.scan(df, by_text=True).collect()}
+    assert got == {
+        1: ("MIT", "MIT", "MIT"), 2: (None, "MIT", "MIT"), 3: ("Apache-2.0", "MIT", "Apache-2.0"), 4: (None, "GPL-3.0", "GPL-3.0"), 5: ("GPL-3.0", "GPL-3.0", "GPL-3.0"), 6: (None, "GPL-3.0", "GPL-3.0"), 7: (None, None, None),
+        8: ("Apache-2.0", None, "Apache-2.0"), 9: ("Apache-2.0", None, "Apache-2.0"), None: ("MIT", None, "MIT"), 11: (None, None, None), 12: ("Apache-2.0", "Apache-2.0", "Apache-2.0"), 13: ("GPL-3.0", "Apache-2.0", "GPL-3.0"), 14: (None, "Apache-2.0", "Apache-2.0"),
+        15: ("BSD-3-Clause",) * 3, 16: (None, "BSD-3-Clause", "BSD-3-Clause"), 17: ("Apache-2.0", "BSD-3-Clause", "Apache-2.0"), 18: ("BSD-3-Clause",) * 3, 19: (None, "BSD-3-Clause", "BSD-3-Clause"), 20: (None, None, None),
+    }
+    assert {r.inherited for r in O.scan(df).collect()} == {None, "BSD-3-Clause"}
+
+
+def test_the_query_inherits(spark, tmp_path):
+    import duckdb
+
+    mit, apache, gpl = (dict(O.TEMPLATES)[x] for x in ("MIT", "Apache-2.0", "GPL-3.0"))
+    rows = [
+        (1, f"Some words.\n{mit}", "en", "a"), (2, "nothing", "en", "a"), (3, "words " * 40 + f"\n{apache}", "en", "a"), (4, "nothing", "fr", "a"), (5, gpl, None, "a"), (6, "nothing", None, "a"), (7, "", "en", "b"),
+        (8, None, "en", "b"), (9, apache, None, None), (10, "nothing", None, None), (11, mit, "de", "ab"), (12, "nothing", "de", "ab"), (13, f"One.\n\n{gpl}\n\nTwo.", "es", "b"), (14, "nothing", "es", "b"),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(O.ORACLE["op2_license_scan"])
+    names = [c[0] for c in want.description]
+    got = O.op2_license_scan(spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
+    assert {r.doc_id: r.inherited for r in got if r.inherited} == {1: "MIT", 2: "MIT", 3: "MIT", 4: "GPL-3.0", 5: "GPL-3.0", 6: "GPL-3.0", 11: "MIT", 12: "MIT", 13: "GPL-3.0", 14: "GPL-3.0"}
